@@ -73,3 +73,11 @@ def added(df: DataFrame, **columns: Column) -> DataFrame:
     names = {c.lower() for c in columns}
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
     return df.select(*kept, *(v.alias(k) for k, v in columns.items()))
+
+
+def python_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the rows that go to Python at once, since texts can be long; never raises the session's own value."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
