@@ -3,8 +3,9 @@
 The program runs on the histogram of piece lengths, whose size doesn't depend on the corpus: lengths are put
 into classes, a configuration says how many pieces of each class share a sequence, and the fewest configurations
 that cover all pieces are found by multiplicative weights, priced by a knapsack dynamic program. The fractional
-solution is rounded down to whole sequences. Real lengths are shorter than their class's, so the room left in each
-sequence is filled with the longest pieces that fit it, and what the rounding left over is packed best-fit as well.
+solution is rounded down to whole sequences. Real lengths are shorter than their class's, so the smallest place of a
+configuration, and any room left, goes to the longest pieces that fit; what the rounding left over is packed
+best-fit as well.
 """
 
 from __future__ import annotations
@@ -154,7 +155,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[_Run]:
     demand = np.array([counts[g].sum() for g in groups], float)
     members = [[int(x) for x in lengths[g]] for g in groups]
     for config, use in sorted(configuration_lp(sizes, demand, capacity // unit, EPSILON), key=lambda x: -x[1]):
-        times = int(use)
+        times, config = int(use), config.copy()
+        last = np.flatnonzero(config)[0]
+        if config.sum() > 1 and len(members[last]) > 1:  # the smallest place goes to whatever real length fits best
+            config[last] -= 1
         while times:
             slots: dict[int, int] = {}
             for k in np.flatnonzero(config):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, simhash
+from . import mixing, packing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_gray_index": simhash.query,
+        "op2_configuration_packing": packing.query,
         "op5_poisson_mixing": mixing.query,
         "op9_host_quality": quality.query,
     }
