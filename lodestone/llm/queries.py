@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, simhash
+from . import linededup, mixing, packing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_simhash_gray_index": simhash.query,
         "op2_configuration_packing": packing.query,
         "op5_poisson_mixing": mixing.query,
+        "op10_line_edit_dedup": linededup.query,
         "op9_host_quality": quality.query,
     }
 
