@@ -20,6 +20,7 @@ EDITS = 2
 MIN_CHARS = 20
 #: Lines with more copies than both this and one in HOT_SHARE of all lines are probed once only.
 HOT_COPIES, HOT_SHARE = 64, 1_000_000
+LETTERS = "etaoinsr"
 
 
 def _ints(*values: int) -> Column:
@@ -58,6 +59,19 @@ def probe_keys(line: Column, length: Column, edits: int = EDITS) -> list[Column]
     return out
 
 
+def signature(line: Column) -> Column:
+    """Counts of some common letters modulo 8 in a cyclic Gray code, 3 bits each.
+
+    An edit changes at most two counts by one, and a count that changes by one flips one bit: the signatures of
+    lines within ``edits`` differ in at most 2 * edits bits.
+    """
+    out = F.lit(0)
+    for k, letter in enumerate(LETTERS):
+        n = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit(7))
+        out = out.bitwiseOR(F.shiftleft(n.bitwiseXOR(F.shiftright(n, 1)), 3 * k))
+    return out
+
+
 # ---- verification
 
 
@@ -156,19 +170,24 @@ def _banded(p: Column, q: Column, edits: int) -> Column:
 
 
 def _lines(docs: DataFrame, min_chars: int, key: str, text: str) -> DataFrame:
-    """(key, d, n, line, size, k1, k2): the lines that are long enough and hold a word."""
+    """(key, d, n, line, size, k1, k2, sig): the lines that are long enough and hold a word."""
     cut = docs.select(key, F.xxhash64(text).alias("d"), F.posexplode(F.split(text, "\n")).alias("n", "line"))
     cut = cut.withColumn("size", F.length("line")).where((F.col("size") >= min_chars) & F.col("line").rlike(f"[^{WHITE}]"))
-    return cut.select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"))
+    return cut.select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"), signature(F.col("line")).alias("sig"))
 
 
 def _candidates(lines: DataFrame, narrow: DataFrame, hot: DataFrame, edits: int, key: str) -> DataFrame:
-    """Distinct pairs (a, b) of line hashes whose lines share a segment at a fitting place."""
-    index = narrow.select(F.explode("keys").alias("key"), F.col("k1").alias("a")).repartition("key").distinct()
+    """Distinct pairs (a, b) of line hashes whose lines share a segment at a fitting place.
+
+    Lines that share much, but differ by more than a few letters, meet under common keys; their letter counts are
+    compared inside the join, so it doesn't make rows of them.
+    """
+    index = narrow.select(F.explode("keys").alias("key"), F.col("k1").alias("a"), F.col("sig").alias("asig")).repartition("key").distinct()
     probing = lines.join(hinted(hot), "k1", "left")
     probing = probing.where(F.col("first").isNull() | F.col("first").eqNullSafe(F.struct(key, "d", "n")))
-    probe = probing.select(F.explode(F.array(*probe_keys(F.col("line"), F.col("size"), edits))).alias("key"), F.col("k1").alias("b"))
-    met = index.hint("shuffle_hash").join(probe, "key").where("a <> b")
+    probe = probing.select(F.explode(F.array(*probe_keys(F.col("line"), F.col("size"), edits))).alias("key"), F.col("k1").alias("b"), "sig")
+    alike = F.bit_count(F.col("asig").bitwiseXOR(F.col("sig"))) <= 2 * edits
+    met = index.hint("shuffle_hash").join(probe, "key").where((F.col("a") != F.col("b")) & alike)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -183,12 +202,12 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     5. Each line learns the first place of its component; all others of it are removed.
     """
     lines = _lines(docs, min_chars, key, text)
-    narrow = materialize(lines.select(key, "d", "n", "k1", "k2", F.array(*index_keys(F.col("line"), F.col("size"), edits)).alias("keys")), "lines")
+    narrow = materialize(lines.select(key, "d", "n", "k1", "k2", "sig", F.array(*index_keys(F.col("line"), F.col("size"), edits)).alias("keys")), "lines")
     place = F.struct(key, "d", "n")
     groups = materialize(narrow.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "line-groups")
     total = narrow.count()
     hot = groups.where(F.col("copies") > max(HOT_COPIES, total // HOT_SHARE)).groupBy("k1").agg(F.min("first").alias("first"))
-    pairs = materialize(_candidates(lines, narrow.select("k1", "keys"), materialize(hot, "hot-lines"), edits, key), "line-pairs")
+    pairs = materialize(_candidates(lines, narrow.select("k1", "sig", "keys"), materialize(hot, "hot-lines"), edits, key), "line-pairs")
     wanted = materialize(pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct(), "pair-lines")
     texts = materialize(lines.join(hinted(wanted), "k1", "left_semi").groupBy("k1", "k2").agg(F.min("line").alias("line")), "pair-texts")
     name = F.concat_ws(".", "k1", "k2")
