@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, packing, quality, simhash
+from . import chat, linededup, mixing, packing, quality, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash_gray_index": simhash.query,
         "op2_configuration_packing": packing.query,
+        "op3_reply_tree_chat": chat.query,
+        "op4_seekable_token_files": token_files.query,
         "op5_poisson_mixing": mixing.query,
         "op10_line_edit_dedup": linededup.query,
         "op9_host_quality": quality.query,
