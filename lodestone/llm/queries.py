@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, linededup, mixing, packing, quality, simhash, token_files
+from . import chat, langid, linededup, media, mixing, packing, quality, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,8 +18,11 @@ def queries() -> dict[str, Query]:
         "op3_reply_tree_chat": chat.query,
         "op4_seekable_token_files": token_files.query,
         "op5_poisson_mixing": mixing.query,
-        "op10_line_edit_dedup": linededup.query,
+        "op6_interleaved_media": media.query,
+        "op7_toxicity_machine": toxicity.query,
+        "op8_language_codes": langid.query,
         "op9_host_quality": quality.query,
+        "op10_line_edit_dedup": linededup.query,
     }
 
 
