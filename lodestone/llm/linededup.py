@@ -20,7 +20,9 @@ EDITS = 2
 MIN_CHARS = 20
 #: Lines with more copies than both this and one in HOT_SHARE of all lines are probed once only.
 HOT_COPIES, HOT_SHARE = 64, 1_000_000
-LETTERS = "etaoinsr"
+LETTERS = "abcdefghiklmnoprstuwy"
+#: Where more lines than this are indexed under a key, letter counts are compared as well.
+CROWD = 64
 
 
 def _ints(*values: int) -> Column:
@@ -44,19 +46,19 @@ def _key(length: Column, k: int, piece: Column) -> Column:
     return F.xxhash64(piece, length, F.lit(k))
 
 
-def index_keys(line: Column, length: Column, edits: int = EDITS) -> list[Column]:
-    return [_key(length, k, F.substring(line, start, size)) for k, (start, size) in enumerate(_segments(length, edits))]
-
-
-def probe_keys(line: Column, length: Column, edits: int = EDITS) -> list[Column]:
-    """Keys of the substrings that can equal a segment of a line shorter by 0 to ``edits``."""
-    out = []
+def probe_keys(line: Column, length: Column, edits: int = EDITS) -> tuple[list[Column], list[int]]:
+    """Keys of the substrings that can equal a segment of a line shorter by 0 to ``edits``; the places in this list
+    of the line's own segments, which are the keys it is indexed under."""
+    out, own = [], []
     for less in range(edits + 1):
         short = length - less
         for k, (start, size) in enumerate(_segments(short, edits)):
             low, high = max(-k, less - (edits - k)), min(k, less + (edits - k))  # edits left and right of the segment
-            out += [_key(short, k, F.substring(line, start + at, size)) for at in range(low, high + 1)]
-    return out
+            for at in range(low, high + 1):
+                if less == at == 0:
+                    own.append(len(out))
+                out.append(_key(short, k, F.substring(line, start + at, size)))
+    return out, own
 
 
 def signature(line: Column) -> Column:
@@ -65,9 +67,9 @@ def signature(line: Column) -> Column:
     An edit changes at most two counts by one, and a count that changes by one flips one bit: the signatures of
     lines within ``edits`` differ in at most 2 * edits bits.
     """
-    out = F.lit(0)
+    out = F.lit(0).cast("long")
     for k, letter in enumerate(LETTERS):
-        n = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit(7))
+        n = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit(7)).cast("long")
         out = out.bitwiseOR(F.shiftleft(n.bitwiseXOR(F.shiftright(n, 1)), 3 * k))
     return out
 
@@ -170,23 +172,38 @@ def _banded(p: Column, q: Column, edits: int) -> Column:
 
 
 def _lines(docs: DataFrame, min_chars: int, key: str, text: str) -> DataFrame:
-    """(key, d, n, line, size, k1, k2, sig): the lines that are long enough and hold a word."""
+    """(key, d, n, line, size, k1, k2): the lines that are long enough and hold a word."""
     cut = docs.select(key, F.xxhash64(text).alias("d"), F.posexplode(F.split(text, "\n")).alias("n", "line"))
     cut = cut.withColumn("size", F.length("line")).where((F.col("size") >= min_chars) & F.col("line").rlike(f"[^{WHITE}]"))
-    return cut.select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"), signature(F.col("line")).alias("sig"))
+    return cut.select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"))
+
+
+def _texts(docs: DataFrame, groups: DataFrame, wanted: DataFrame, min_chars: int, key: str, text: str) -> DataFrame:
+    """The lines of the wanted k1, once each. Only the documents where they first stand are taken apart."""
+    places = materialize(groups.join(hinted(wanted), "k1", "left_semi").select(F.col(f"first.{key}").alias("__ls_key"), F.col("first.d").alias("__ls_hash")).distinct(), "places")
+    there = docs[key].eqNullSafe(F.col("__ls_key")) & (F.xxhash64(docs[text]) == F.col("__ls_hash"))
+    lines = _lines(docs.join(hinted(places), there, "left_semi"), min_chars, key, text)
+    return lines.join(hinted(wanted), "k1", "left_semi").groupBy("k1", "k2").agg(F.min("line").alias("line"))
 
 
-def _candidates(lines: DataFrame, narrow: DataFrame, hot: DataFrame, edits: int, key: str) -> DataFrame:
+def _candidates(narrow: DataFrame, own: list[int], hot: DataFrame, texts_of, edits: int, key: str) -> DataFrame:
     """Distinct pairs (a, b) of line hashes whose lines share a segment at a fitting place.
 
-    Lines that share much, but differ by more than a few letters, meet under common keys; their letter counts are
-    compared inside the join, so it doesn't make rows of them.
+    Lines that share much, but differ by more than a few letters, crowd under common keys; the letter counts of
+    lines that meet such keys are compared inside the join, so it doesn't make rows of them.
     """
-    index = narrow.select(F.explode("keys").alias("key"), F.col("k1").alias("a"), F.col("sig").alias("asig")).repartition("key").distinct()
-    probing = lines.join(hinted(hot), "k1", "left")
+    probing = narrow.join(hinted(hot), "k1", "left")
     probing = probing.where(F.col("first").isNull() | F.col("first").eqNullSafe(F.struct(key, "d", "n")))
-    probe = probing.select(F.explode(F.array(*probe_keys(F.col("line"), F.col("size"), edits))).alias("key"), F.col("k1").alias("b"), "sig")
-    alike = F.bit_count(F.col("asig").bitwiseXOR(F.col("sig"))) <= 2 * edits
+    indexed = F.explode(F.array(*(F.get("keys", F.lit(k)) for k in own))).alias("key")
+    count = narrow.select(indexed, "k1").repartition("key").distinct().groupBy("key").count()
+    crowded = materialize(count.where(F.col("count") > CROWD).select("key"), "crowded-keys")
+    there = probing.select(F.explode("keys").alias("key"), "k1").join(hinted(crowded), "key", "left_semi")
+    crowd = materialize(there.select("k1").distinct(), "crowd")
+    signed = texts_of(crowd).groupBy("k1").agg(F.min(signature(F.col("line"))).alias("low"), F.max(signature(F.col("line"))).alias("high"))
+    sigs = hinted(materialize(signed.select("k1", F.when(F.col("low") == F.col("high"), F.col("low")).alias("sig")), "signatures"))
+    index = narrow.select(indexed, "k1").repartition("key").distinct().join(sigs, "k1", "left").select("key", F.col("k1").alias("a"), F.col("sig").alias("asig"))
+    probe = probing.select("k1", "keys").join(sigs, "k1", "left").select(F.explode("keys").alias("key"), F.col("k1").alias("b"), "sig")
+    alike = F.coalesce(F.bit_count(F.col("asig").bitwiseXOR(F.col("sig"))) <= 2 * edits, F.lit(True))
     met = index.hint("shuffle_hash").join(probe, "key").where((F.col("a") != F.col("b")) & alike)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -194,7 +211,7 @@ def _candidates(lines: DataFrame, narrow: DataFrame, hot: DataFrame, edits: int,
 def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, d, removed): for each document that loses lines, their numbers from 0; d is its text's xxhash64.
 
-    1. The lines' two 64-bit hashes, place and index keys are written once, without the texts.
+    1. The lines' two 64-bit hashes, place and keys are written once, without the texts.
     2. Exact copies: the first place by hash pair; a partial minimum, so a common line is no hot task.
     3. Near lines: index and probe keys meet by one shuffle. A line of very many copies probes from its first
        place only; there can be at most HOT_SHARE such lines, which are broadcast behind a count.
@@ -202,14 +219,16 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     5. Each line learns the first place of its component; all others of it are removed.
     """
     lines = _lines(docs, min_chars, key, text)
-    narrow = materialize(lines.select(key, "d", "n", "k1", "k2", "sig", F.array(*index_keys(F.col("line"), F.col("size"), edits)).alias("keys")), "lines")
+    keys, own = probe_keys(F.col("line"), F.col("size"), edits)
+    narrow = materialize(lines.select(key, "d", "n", "k1", "k2", F.array(*keys).alias("keys")), "lines")
     place = F.struct(key, "d", "n")
     groups = materialize(narrow.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "line-groups")
     total = narrow.count()
     hot = groups.where(F.col("copies") > max(HOT_COPIES, total // HOT_SHARE)).groupBy("k1").agg(F.min("first").alias("first"))
-    pairs = materialize(_candidates(lines, narrow.select("k1", "sig", "keys"), materialize(hot, "hot-lines"), edits, key), "line-pairs")
+    texts_of = lambda wanted: _texts(docs, groups, wanted, min_chars, key, text)
+    pairs = materialize(_candidates(narrow, own, materialize(hot, "hot-lines"), texts_of, edits, key), "line-pairs")
     wanted = materialize(pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct(), "pair-lines")
-    texts = materialize(lines.join(hinted(wanted), "k1", "left_semi").groupBy("k1", "k2").agg(F.min("line").alias("line")), "pair-texts")
+    texts = materialize(texts_of(wanted), "pair-texts")
     name = F.concat_ws(".", "k1", "k2")
     left = texts.select(F.col("k1").alias("a"), name.alias("u"), F.col("line").alias("p"))
     right = texts.select(F.col("k1").alias("b"), name.alias("v"), F.col("line").alias("q"))
