@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, let, table
+from .common import let, materialize, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Control strings of the common chat templates begin with one of these; their first character is escaped.
@@ -56,14 +56,14 @@ def _rooted(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     known = nodes.select("conv_id", F.col("id").alias("parent"))
     first = nodes.join(known.withColumn("there", F.lit(True)), ["conv_id", "parent"], "left")
     first = first.withColumn("up", F.when(F.col("there"), F.col("parent")))
-    now = checkpoint(first.select("conv_id", "id", "up", F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"), F.col("id").alias("top")))
+    now = materialize(first.select("conv_id", "id", "up", F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"), F.col("id").alias("top")), "climb")
     jumps: list[DataFrame] = []
     open_ = now.where("up is not null")
     while not open_.isEmpty() and len(jumps) < MAX_ROUNDS:
         jumps.append(open_.select("conv_id", "id", "up"))
         above = now.select("conv_id", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"), F.col("top").alias("top2"))
         moved = open_.join(above, ["conv_id", "up"]).select("conv_id", "id", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total"), F.col("top2").alias("top"))
-        now = checkpoint(now.where("up is null").union(moved))
+        now = materialize(now.where("up is null").union(moved), "climb")
         open_ = now.where("up is not null")
     return now.where("up is null").select("conv_id", "id", "depth", "total", F.col("top").alias("root")), jumps
 
@@ -74,7 +74,7 @@ def reply_paths(messages: DataFrame, top_k: int = 1) -> DataFrame:
     A path's score is the mean of its messages' scores (null counts as 0); ties go to the lesser leaf. ``back``
     counts steps from the leaf. The rank is cut before the shuffle, so a tree of very many leaves is no hot task.
     """
-    nodes = checkpoint(messages.select("conv_id", "id", "parent", "score"))
+    nodes = materialize(messages.select("conv_id", "id", "parent", "score"), "messages")
     rooted, jumps = _rooted(nodes)
     inner = nodes.select("conv_id", F.col("parent").alias("id")).distinct()
     leaves = rooted.join(inner, ["conv_id", "id"], "left_anti").withColumn("path_score", F.col("total") / F.col("depth"))
@@ -83,7 +83,7 @@ def reply_paths(messages: DataFrame, top_k: int = 1) -> DataFrame:
     paths = chosen.select("conv_id", F.col("id").alias("leaf"), "branch", "path_score", F.lit(0).cast("long").alias("back"), "id")
     for k, jump in enumerate(jumps):
         further = paths.join(jump, ["conv_id", "id"]).select("conv_id", "leaf", "branch", "path_score", (F.col("back") + (1 << k)).alias("back"), F.col("up").alias("id"))
-        paths = checkpoint(paths.union(further)) if k % 3 == 2 else paths.union(further)
+        paths = materialize(paths.union(further), "paths") if k % 3 == 2 else paths.union(further)
     return paths
 
 
@@ -141,7 +141,7 @@ PROBE = "</s>[INST] ok [/INST]"
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(LOSS_ROLE).alias("role"), F.lit(PROBE).alias("text"))
-    out = format_conversations(checkpoint(chains(turns.union(probe))))
+    out = format_conversations(materialize(chains(turns.union(probe)), "turns"))
     said = F.array_join(F.transform("loss", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
     heard = let(read_turns(F.col("formatted")), lambda t: F.struct(F.size(t).cast("long").alias("n"), F.sha2(F.array_join(F.transform(t, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), ""), 256).alias("h")))
     out = out.withColumns({"heard": heard, "said": said})
