@@ -251,7 +251,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
     A document's ids are the tokenizer's, then ``end``; a null text is empty. Only longer ones are cut, into
     whole pieces and a last one. ids: little-endian unsigned 32-bit. Each row gives its own pieces.
     """
-    python_batches(docs.sparkSession)
+    python_batches(docs.sparkSession, 2000)
     schema = f"{key} long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     mark = np.array([end], "<u4").tobytes()
 

@@ -114,7 +114,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end: int = END, k
     that succeeded, so a lost executor leaves at most a file that nothing names. The list is one row per file.
     """
     spark = docs.sparkSession
-    python_batches(spark)
+    python_batches(spark, 2000)
     place, base = _place(folder)
     place.create_dir(base, recursive=True)
     mark = np.array([end], "<u4").tobytes()

@@ -7,14 +7,18 @@ import sys
 import types
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words in the cache at most, between batches, and the longest word that stays in it.
-MOST_WORDS = 400_000
+MOST_WORDS = 800_000
 LONGEST = 40
 #: Letters below this are composed as they are and have one lower-case form, whatever stands around them.
 COMPLEX = "\u0130"
 #: A full stop or comma beside another mark, with which it would be one piece.
 _BESIDE = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))")
+#: Letters, then ASCII marks without an apostrophe, which could begin a piece with letters.
+_MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 class WordTokenizer:
@@ -34,7 +38,7 @@ class WordTokenizer:
         self.ends = np.zeros(size, bool)
         for piece, k in vocabulary.items():
             self.ends[k] = piece.endswith("</w>")
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(words, add_special_tokens=False)]
@@ -49,25 +53,48 @@ class WordTokenizer:
         return [whole[a:b] for a, b in zip(at, at[1:])]
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that aren't in the cache."""
-        plain = [w for w in words if w.isalpha() and max(w) < COMPLEX]
-        rest = list(words.difference(plain))
+        """Ids of words that aren't in the cache. Letters with marks behind them are two pieces, each known by itself."""
+        known, parts = self.known, {}
+        plain = {w for w in words if w.isalpha() and max(w) < COMPLEX}
+        rest = words - plain
+        for w in rest:
+            if (cut := _MARKED.fullmatch(w)) and max(cut[1]) < COMPLEX:
+                parts[w] = cut[1], cut[2]
+        rest = [w for w in rest if w not in parts]
+        more = {x for pair in parts.values() for x in pair}.difference(known, plain, rest)
+        letters = {w for w in more if w.isalpha()}
+        rest += more - letters
+        plain = list(plain | letters)
         found = dict(zip(plain, self._letters(plain))) if plain else {}
-        return found | dict(zip(rest, self._encode(rest))) if rest else found
+        found.update(zip(rest, self._encode(rest)) if rest else ())
+        for w, (one, two) in parts.items():
+            found[w] = (found[one] if one in found else known[one]) + (found[two] if two in found else known[two])
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [_spaced(t or "").split(" ") for t in texts]
-        known = self.known
-        missing = set().union(*split) - known.keys()
+        """The ids of each text. A batch's distinct words are looked up once; columns of numbers do the rest."""
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array([_spaced(t or "") for t in texts], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        words, known = coded.dictionary.to_pylist(), self.known
+        missing = set(words) - known.keys()
         if missing:
             known.update(self.learn(missing))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        found = [known[w] for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        pool = np.frombuffer(b"".join(found), "<u4")
+        at = coded.indices.to_numpy()
+        each = sizes[at]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        ids = pool[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], each)].tobytes()
+        cuts = (ends[lists.offsets.to_numpy()] * 4).tolist()
         if len(known) > MOST_WORDS:  # the older half goes, and long words
             kept = list(known.items())[len(known) // 2 :]
             known.clear()
             known.update((w, b) for w, b in kept if len(w) <= LONGEST)
-            known[""] = b""
-        return out
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def _spaced(text: str) -> str:
@@ -90,7 +117,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return found[path]
 
 
-def batches(texts: list[str | None], chars: int = 3 << 20):
+def batches(texts: list[str | None], chars: int = 8 << 20):
     """Consecutive (from, to) ranges of about so many characters."""
     start = size = 0
     for k, t in enumerate(texts):
