@@ -22,7 +22,7 @@ MIN_CHARS = 20
 HOT_COPIES, HOT_SHARE = 64, 1_000_000
 LETTERS = "abcdefghiklmnoprstuwy"
 #: Where more lines than this are indexed under a key, letter counts are compared as well.
-CROWD = 64
+CROWD = 8
 
 
 def _ints(*values: int) -> Column:
