@@ -49,7 +49,7 @@ def features(text: str | None) -> np.ndarray | None:
 def codewords(languages: int, bits: int = BITS) -> np.ndarray:
     """+1/-1 codewords far apart: the best of many random draws, bits that all languages share excluded."""
     rng = np.random.default_rng(SEED)
-    bits = max(bits, 2 * int(np.ceil(np.log2(max(languages, 2)))) + 3)
+    bits = max(bits, 4 * int(np.ceil(np.log2(max(languages, 2)))) + 3)
     best, far = None, -1
     for _ in range(200):
         code = rng.choice([-1, 1], (languages, bits))

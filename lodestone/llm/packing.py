@@ -27,8 +27,10 @@ from .tokens import batches, tokenizer
 
 CAPACITY = 4096
 END = 1
-CLASSES, UNITS = 64, 256
-EPSILON = 0.15
+CLASSES, UNITS = 128, 256
+EPSILON, ROUNDS = 0.3, 2.0
+#: Up to so many classes, lengths count by the token, not in units.
+EXACT = 16
 
 
 # ---- the linear program
@@ -66,19 +68,24 @@ def price(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.n
     return float(best[room]), counts
 
 
-def configuration_lp(sizes: np.ndarray, demand: np.ndarray, room: int = UNITS, epsilon: float = EPSILON) -> list[tuple[np.ndarray, float]]:
+def configuration_lp(sizes: np.ndarray, demand: np.ndarray, room: int = UNITS, epsilon: float = EPSILON, rounds: float = ROUNDS) -> list[tuple[np.ndarray, float]]:
     """Configurations and how often each is used, covering ``demand`` fractionally with few uses.
 
     Multiplicative weights for the covering program: the class that is covered least weighs most; each step
     uses the best-paying configuration as often as covers one of its classes once over, and lowers the weights
-    of what it covers. The uses are at last scaled so that the least covered class is covered just once.
+    of what it covers. Steps count once the weights have settled, that is when every class has been covered log(n) /
+    epsilon times; then until each is covered ``rounds`` / epsilon times more. The uses are at last scaled so that the
+    least covered class is covered just once.
     """
     n = len(sizes)
-    weight = np.log(np.maximum(sizes, 1) / room) - np.log(demand)  # a length's fair price, by piece
-    covered = np.zeros(n)
-    goal = max(np.log(n), 1.0) / epsilon
+    weight = -np.log(demand)
+    covered, goal, settled = np.zeros(n), np.log(n) / epsilon, False
     uses: dict[bytes, float] = {}
-    while covered.min() < goal:
+    while True:
+        if covered.min() >= goal:
+            if settled:
+                break
+            covered, goal, settled, uses = np.zeros(n), rounds / epsilon, True, {}
         _, config = price(np.exp(weight - weight.max()), sizes, room)
         share = config / demand
         step = 1.0 / share.max()
@@ -112,30 +119,25 @@ class _Left:
             del self.n[length]
             self.lengths.pop(bisect_right(self.lengths, length) - 1)
 
-    def fitting(self, room: int) -> int:
-        k = bisect_right(self.lengths, room)
-        return self.lengths[k - 1] if k else 0
-
-
-def _filled(run: _Run, room: int, left: _Left, out: list[_Run]) -> None:
-    """Puts the longest pieces that fit into each sequence of a run; splits the run where they run out."""
-    open_ = [(run, room)]
-    while open_:
-        run, room = open_.pop()
-        length = left.fitting(room)
-        if not length:
-            out.append(run)
-            continue
-        have = left.n[length]
-        if have < run.times:
-            open_.append((_Run(run.times - have, dict(run.lengths)), room))
-            run = _Run(have, run.lengths)
-            each = 1
-        else:
-            each = min(have // run.times, room // length)
-        left.take(length, each * run.times)
-        run.lengths[length] = run.lengths.get(length, 0) + each
-        open_.append((run, room - each * length))
+    def fitting(self, room: int, used: dict[int, int]) -> int:
+        """The longest length up to ``room`` of which more are left than ``used``; 0 if there is none."""
+        k = bisect_right(self.lengths, room) - 1
+        while k >= 0 and self.n[self.lengths[k]] <= used.get(self.lengths[k], 0):
+            k -= 1
+        return self.lengths[k] if k >= 0 else 0
+
+    def place(self, slots: dict[int, int], times: int, capacity: int, out: list[_Run]) -> int:
+        """Makes as many sequences of these pieces as there are pieces for, ``times`` at most, and returns their
+        number. The room left in them is first filled with the longest pieces that fit."""
+        room = capacity - sum(length * k for length, k in slots.items())
+        while length := self.fitting(room, slots):
+            slots[length] = slots.get(length, 0) + 1
+            room -= length
+        now = min(times, *(self.n[length] // k for length, k in slots.items()))
+        for length, k in slots.items():
+            self.take(length, k * now)
+        out.append(_Run(now, slots))
+        return now
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[_Run]:
@@ -150,8 +152,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[_Run]:
     lengths = np.array(sorted(rest))
     counts = np.array([rest[int(k)] for k in lengths])
     groups = classes_of(lengths, counts)
-    unit = -(-capacity // UNITS)
-    sizes = np.array([-(-int(lengths[g[-1]]) // unit) for g in groups])
+    unit = 1 if len(groups) <= EXACT else -(-capacity // UNITS)
+    sizes = np.minimum([-(-int(lengths[g[-1]]) // unit) for g in groups], capacity // unit)
     demand = np.array([counts[g].sum() for g in groups], float)
     members = [[int(x) for x in lengths[g]] for g in groups]
     for config, use in sorted(configuration_lp(sizes, demand, capacity // unit, EPSILON), key=lambda x: -x[1]):
@@ -175,16 +177,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[_Run]:
                         need -= took
             if not slots:
                 break
-            now = min(times, *(left.n[length] // k for length, k in slots.items()))
-            for length, k in slots.items():
-                left.take(length, k * now)
-            times -= now
-            _filled(_Run(now, slots), capacity - sum(a * b for a, b in slots.items()), left, runs)
+            times -= left.place(slots, times, capacity, runs)
     while left.lengths:
         length = left.lengths[-1]
-        n = left.n[length]
-        left.take(length, n)
-        _filled(_Run(n, {length: 1}), capacity - length, left, runs)
+        left.place({length: 1}, left.n[length], capacity, runs)
     return runs
 
 

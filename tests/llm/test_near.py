@@ -1,0 +1,181 @@
+"""SimHash near-duplicates and line dedup against brute force."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lodestone.llm import linededup as L
+from lodestone.llm import simhash as S
+from lodestone.llm.components import connected_components
+
+
+def slow_print(text, words=4):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + words]).encode(), 42) for i in range(max(1, len(w) - words + 1))]
+    return sum(1 << b for b in range(64) if sum((x >> b) & 1 for x in h) * 2 > len(h))
+
+
+def slow_components(n, linked):
+    label = list(range(n))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            if linked(a, b):
+                x, y = find(a), find(b)
+                label[max(x, y)] = min(x, y)
+    return [find(x) for x in range(n)]
+
+
+TEXTS = ["", None, "a", "A b", "one Two three four", "ONE two three four", "É é é é x", "w " * 9000, "\x1cx\x0by \x1fz", "a\nb\tc d e"]
+
+
+@pytest.mark.parametrize("words", [4, 5])
+@pytest.mark.parametrize("text", TEXTS)
+def test_fingerprint(text, words):
+    assert S.fingerprint(text, words) & (2**64 - 1) == slow_print(text, words)
+
+
+@pytest.mark.parametrize("n,spread", [(1, 64), (2, 64), (40, 20), (700, 64), (900, 12), (400, 5)])
+def test_index_finds_what_brute_force_finds(n, spread):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 2**63, max(1, n // 3), dtype=np.uint64)
+    flip = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, spread, (3, n)).astype(np.uint64), axis=0)
+    codes = np.unique(base[rng.integers(0, len(base), n)] ^ flip)
+    codes = codes[np.argsort(S.gray_rank(codes))]
+    want = slow_components(len(codes), lambda a, b: int(codes[a] ^ codes[b]).bit_count() <= 4)
+    forest = S._Forest(len(codes))
+    forest.add(*S.GrayIndex(codes).links(4))
+    assert forest.label.tolist() == want
+
+
+def test_gray_rank_is_the_inverse_of_the_gray_code():
+    n = np.arange(5000, dtype=np.uint64)
+    assert (S.gray_rank(n ^ (n >> np.uint64(1))) == n).all()
+
+
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_links_in_chunks_connect_the_same(spark, chunk):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    codes = np.unique(base[rng.integers(0, 6, 90)] ^ (np.uint64(1) << rng.integers(0, 64, 90).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 90).astype(np.uint64)))
+    prints = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    roots = {r.node: r.root for r in connected_components(S.near_links(prints, chunk=chunk)).collect()}
+    want = slow_components(len(codes), lambda a, b: int(codes[a] ^ codes[b]).bit_count() <= 4)
+    signed = codes.view(np.int64).tolist()
+    got = [roots.get(c, c) for c in signed]
+    groups = lambda labels: {frozenset(i for i, x in enumerate(labels) if x == y) for y in set(labels)}
+    assert groups(got) == groups(want)
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(1, 60)] + [(100, 200 + k) for k in range(50)] + [(7, 7), (None, 3), (300, 301), (301, 300)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**dict.fromkeys(range(1, 61), 1), **dict.fromkeys([100, *range(200, 250)], 100), 300: 300, 301: 300}
+    assert connected_components(spark.createDataFrame([], "u string, v string")).collect() == []
+
+
+def test_classes_of_odd_rows(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(5, text), (3, text), (9, text.upper()), (4, None), (2, ""), (8, "  "), (None, text), (7, "alone here"), (7, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("x")).withColumn("fp", F.lit("y"))
+    got = sorted(((r.doc_id, r.component_id) for r in S.simhash_classes(docs).collect()), key=str)
+    assert got == sorted([(5, 3), (3, 3), (9, 3), (None, 3), (4, 2), (2, 2), (8, 2), (7, 7), (7, 7)], key=str)
+    assert S.simhash_classes(docs.limit(0)).collect() == []
+    kept = sorted((str(r.doc_id) for r in S.near_dedup(docs).collect()))
+    assert kept == ["2", "3", "7", "None"]
+    other = spark.createDataFrame([(1, "first of its kind here"), (1, text), (0, text)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in S.near_dedup(other).collect()) == [(0, text), (1, "first of its kind here")]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def edited(rng, text, n, letters="abcdé "):
+    out = list(text)
+    for _ in range(n):
+        k, kind = rng.randrange(len(out) + 1), rng.randrange(3)
+        if kind == 0 or not out:
+            out.insert(k, rng.choice(letters))
+        elif kind == 1:
+            out.pop(k % len(out))
+        else:
+            out[k % len(out)] = rng.choice(letters)
+    return "".join(out)
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_banded_distance(spark, edits):
+    rng = random.Random(edits)
+    pairs = [(a := "".join(rng.choice("abé") for _ in range(rng.choice([0, 1, 2, 3, 5, 9, 40]))), edited(rng, a, rng.randrange(6))) for _ in range(1500)]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", L.within(F.col("a"), F.col("b"), edits).alias("w")).collect()
+    assert [(r.a, r.b) for r in got if r.w != (distance(r.a, r.b) <= edits)] == []
+
+
+def test_signature_bounds_the_edits(spark):
+    rng = random.Random(1)
+    pairs = [(a := "".join(rng.choice("abcdefg hij") for _ in range(30)), edited(rng, a, 2, "abcxyz")) for _ in range(500)]
+    far = spark.createDataFrame(pairs, "a string, b string").where(F.bit_count(L.signature(F.col("a")).bitwiseXOR(L.signature(F.col("b")))) > 4)
+    assert far.count() == 0
+
+
+def slow_removed(docs, edits, least):
+    places = [(d, xh, n, line) for d, xh, t in docs for n, line in enumerate((t or "").split("\n")) if len(line) >= least and re.search(r"[^\x20\x09-\x0D]", line)]
+    lines = sorted({p[3] for p in places})
+    label = slow_components(len(lines), lambda a, b: abs(len(lines[a]) - len(lines[b])) <= edits and distance(lines[a], lines[b]) <= edits)
+    by = {line: label[k] for k, line in enumerate(lines)}
+    order = lambda p: (p[0] is not None, p[0] or 0, p[1], p[2])
+    first = {}
+    for p in sorted(places, key=order):
+        first.setdefault(by[p[3]], p[:3])
+    gone = {}
+    for p in places:
+        if first[by[p[3]]] != p[:3]:
+            gone.setdefault(p[:2], set()).add(p[2])
+    return gone
+
+
+@pytest.mark.parametrize("edits,crowd,hot", [(2, 8, 64), (2, 0, 0), (1, 1, 1)])
+def test_line_dedup(spark, monkeypatch, edits, crowd, hot):
+    monkeypatch.setattr(L, "CROWD", crowd)
+    monkeypatch.setattr(L, "HOT_COPIES", hot)
+    rng = random.Random(9)
+    pool = ["".join(rng.choice("abcdef gh") for _ in range(rng.randrange(18, 60))) for _ in range(25)]
+    rows = []
+    for d in range(60):
+        lines = [edited(rng, rng.choice(pool), rng.choice([0, 0, 1, 2, 3, 4])) for _ in range(rng.randrange(6))] + ["", "short", pool[0]][: rng.randrange(4)]
+        rows.append((rng.choice([d, d, None, 5]), "\n".join(lines)))
+    rows += [(70, None), (71, ""), (72, "\n\n"), rows[0], rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed", F.lit(1)).withColumn("other", F.lit(2))
+    hashed = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    want = slow_removed([(d, hashed[d, t], t) for d, t in rows], edits, L.MIN_CHARS)
+    out = L.line_dedup(docs.withColumnRenamed("text", "body").withColumnRenamed("body", "text"), edits)
+    pairs = out.select("doc_id", "text", "removed", "n_lines", "n_removed", "other").collect()
+    assert len(pairs) == len(rows)
+    expected = []
+    for d, t in rows:
+        gone = want.get((d, hashed[d, t]), set())
+        left = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
+        expected.append((d, left, sorted(gone), 0 if t is None else len(t.split("\n")), len(gone), 2))
+    assert sorted(map(str, expected)) == sorted(str(tuple(r)) for r in pairs)
+
+
+def test_line_dedup_of_nothing(spark):
+    assert L.line_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
