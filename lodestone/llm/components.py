@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import materialize
+
+
+def _joined(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the least neighbour of their u. The minima are written first: a plain scan on either side lets
+    adaptive execution split the edges of a hub."""
+    return edges.join(materialize(least, "least"), "u")
 
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _joined(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _joined(down, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
@@ -28,16 +34,16 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (u, v) of any orderable type to (node, root): every node with an edge, and its component's least node.
 
-    Self-links and nulls are ignored; repeated edges count once. Each round is checkpointed in the shared
-    folder; the rounds grow with the logarithm of the longest chain. A hub's neighbours are never gathered in
-    one row: each step is a partial minimum and a join back, which adaptive execution can split.
+    Self-links and nulls are ignored; repeated edges count once. Each half round is written to the shared folder;
+    the rounds grow with the logarithm of the longest chain. A hub's neighbours are never gathered in one row: each
+    step is a partial minimum and a join back, which adaptive execution can split.
     """
-    now = checkpoint(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct())
+    now = materialize(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), "edges")
     state = _state(now)
     while state[0]:
-        new = checkpoint(_small(_large(now)).where("u <> v").distinct())
-        after = _state(new)
-        now = new
+        large = materialize(_large(now).where("u <> v").distinct(), "large-star")
+        now = materialize(_small(large).where("u <> v").distinct(), "small-star")
+        after = _state(now)
         if after == state:
             break
         state = after
