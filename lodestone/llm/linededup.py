@@ -195,13 +195,13 @@ def _candidates(narrow: DataFrame, own: list[int], hot: DataFrame, texts_of, edi
     probing = narrow.join(hinted(hot), "k1", "left")
     probing = probing.where(F.col("first").isNull() | F.col("first").eqNullSafe(F.struct(key, "d", "n")))
     indexed = F.explode(F.array(*(F.get("keys", F.lit(k)) for k in own))).alias("key")
-    count = narrow.select(indexed, "k1").repartition("key").distinct().groupBy("key").count()
+    count = probing.select(indexed, "k1").repartition("key").distinct().groupBy("key").count()
     crowded = materialize(count.where(F.col("count") > CROWD).select("key"), "crowded-keys")
     there = probing.select(F.explode("keys").alias("key"), "k1").join(hinted(crowded), "key", "left_semi")
     crowd = materialize(there.select("k1").distinct(), "crowd")
     signed = texts_of(crowd).groupBy("k1").agg(F.min(signature(F.col("line"))).alias("low"), F.max(signature(F.col("line"))).alias("high"))
     sigs = hinted(materialize(signed.select("k1", F.when(F.col("low") == F.col("high"), F.col("low")).alias("sig")), "signatures"))
-    index = narrow.select(indexed, "k1").repartition("key").distinct().join(sigs, "k1", "left").select("key", F.col("k1").alias("a"), F.col("sig").alias("asig"))
+    index = probing.select(indexed, "k1").repartition("key").distinct().join(sigs, "k1", "left").select("key", F.col("k1").alias("a"), F.col("sig").alias("asig"))
     probe = probing.select("k1", "keys").join(sigs, "k1", "left").select(F.explode("keys").alias("key"), F.col("k1").alias("b"), "sig")
     alike = F.coalesce(F.bit_count(F.col("asig").bitwiseXOR(F.col("sig"))) <= 2 * edits, F.lit(True))
     met = index.hint("shuffle_hash").join(probe, "key").where((F.col("a") != F.col("b")) & alike)
@@ -213,7 +213,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
 
     1. The lines' two 64-bit hashes, place and keys are written once, without the texts.
     2. Exact copies: the first place by hash pair; a partial minimum, so a common line is no hot task.
-    3. Near lines: index and probe keys meet by one shuffle. A line of very many copies probes from its first
+    3. Near lines: index and probe keys meet by one shuffle. A line of very many copies takes part from its first
        place only; there can be at most HOT_SHARE such lines, which are broadcast behind a count.
     4. The texts of lines in candidate pairs are read again and verified; links become components.
     5. Each line learns the first place of its component; all others of it are removed.
