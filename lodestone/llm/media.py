@@ -126,7 +126,7 @@ def interleave(pages: DataFrame, media: DataFrame, columns: tuple[str, ...] = ("
 def resolve(parsed: DataFrame, media: DataFrame, columns: tuple[str, ...] = ("media",)) -> DataFrame:
     """One row per item of ``__ls_items``, with its page's other columns and its medium's ``columns``."""
     items = parsed.select(*[c for c in parsed.columns if c != "__ls_items"], F.inline("__ls_items"))
-    named = media.select(F.col("digest").alias("__ls_digest"), *columns)
+    named = media.select(F.col("digest").alias("__ls_digest"), *columns)  # a written table, so a hot digest can be split
     return items.join(named, F.col("ref") == F.col("__ls_digest"), "left").drop("__ls_digest")
 
 
@@ -201,5 +201,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit("<article><h1>Document "), name, F.lit('</h1><figure><img src="' + SCHEME), F.col("digest"), F.lit('"><figcaption>The text of document '), name, F.lit("</figcaption></figure></article>"))
     parsed = kept.select("doc_id", "n_bytes", sequences(html).alias("__ls_items"))
     facts = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    items = resolve(parsed, described(kept), facts).where("kind = 'media'")
+    items = resolve(parsed, materialize(described(kept), "described"), facts).where("kind = 'media'")
     return items.select("doc_id", "n_bytes", *facts, "position", "caption")
