@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words in the cache at most, between batches, and the longest word that stays in it.
-MOST_WORDS = 800_000
+MOST_WORDS = 600_000
 LONGEST = 40
 #: Letters below this are composed as they are and have one lower-case form, whatever stands around them.
 COMPLEX = "\u0130"
@@ -117,7 +117,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return found[path]
 
 
-def batches(texts: list[str | None], chars: int = 8 << 20):
+def batches(texts: list[str | None], chars: int = 6 << 20):
     """Consecutive (from, to) ranges of about so many characters."""
     start = size = 0
     for k, t in enumerate(texts):
