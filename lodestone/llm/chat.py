@@ -71,10 +71,11 @@ def _rooted(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 def reply_paths(messages: DataFrame, top_k: int = 1) -> DataFrame:
     """(conv_id, leaf, branch, path_score, back, id): the messages of the ``top_k`` best paths of each conv_id.
 
-    A path's score is the mean of its messages' scores (null counts as 0); ties go to the lesser leaf. ``back``
-    counts steps from the leaf. The rank is cut before the shuffle, so a tree of very many leaves is no hot task.
+    ``messages`` are read several times and should be a written table without repeated ids. A path's score is the
+    mean of its messages' scores (null counts as 0); ties go to the lesser leaf. ``back`` counts steps from the leaf.
+    The rank is cut before the shuffle, so a tree of very many leaves is no hot task.
     """
-    nodes = materialize(messages.select("conv_id", "id", "parent", "score"), "messages")
+    nodes = messages.select("conv_id", "id", "parent", "score")
     rooted, jumps = _rooted(nodes)
     inner = nodes.select("conv_id", F.col("parent").alias("id")).distinct()
     leaves = rooted.join(inner, ["conv_id", "id"], "left_anti").withColumn("path_score", F.col("total") / F.col("depth"))
@@ -91,10 +92,13 @@ def format_conversations(messages: DataFrame, top_k: int = 1, loss_role: str = L
     """(conv_id, leaf, branch, path_score, n_turns, formatted, loss): one row per chosen path.
 
     ``loss``: array of (start, end) code-point spans of ``formatted`` that hold exactly the texts of ``loss_role``,
-    in order. A null text or role is empty; a message whose parent is null or missing is a root; repeated
-    (conv_id, id) rows must not occur; an empty table gives an empty result; further columns are ignored. A
-    conversation is one row, and its turns meet in one task.
+    in order. A null text or role is empty; a message whose parent is null or missing is a root; of rows that repeat
+    a (conv_id, id) the least by parent, role, text and score counts; rows without conv_id or id are left out; an empty
+    table gives an empty result; further columns are ignored. A conversation is one row, and its turns meet in one task.
     """
+    least = F.min(F.struct("parent", "role", "text", "score")).alias("m")
+    named = messages.where("conv_id is not null and id is not null").groupBy("conv_id", "id").agg(least)
+    messages = materialize(named.select("conv_id", "id", "m.*"), "messages")
     paths = reply_paths(messages, top_k)
     texts = messages.select("conv_id", "id", "role", "text")
     turns = paths.join(texts, ["conv_id", "id"]).select("conv_id", "leaf", "branch", "path_score", "back", _head(F.col("role")).alias("head"), escaped(F.col("text")).alias("body"), F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("own"))
@@ -141,7 +145,7 @@ PROBE = "</s>[INST] ok [/INST]"
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(LOSS_ROLE).alias("role"), F.lit(PROBE).alias("text"))
-    out = format_conversations(materialize(chains(turns.union(probe)), "turns"))
+    out = format_conversations(chains(turns.union(probe)))
     said = F.array_join(F.transform("loss", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
     heard = let(read_turns(F.col("formatted")), lambda t: F.struct(F.size(t).cast("long").alias("n"), F.sha2(F.array_join(F.transform(t, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), ""), 256).alias("h")))
     out = out.withColumns({"heard": heard, "said": said})

@@ -95,10 +95,6 @@ def test_escapes_are_undone(spark):
         assert not re.search(r"<\||</?s>|\[/?INST\]|<<", r.e)
 
 
-def read(row):
-    return row.formatted
-
-
 def test_reply_trees(spark):
     rows = [
         (1, 1, None, "user", "root", 0.0),
@@ -120,6 +116,8 @@ def test_reply_trees(spark):
     one = next(r for r in best if r.conv_id == 1)
     assert [(t.role, t.text) for t in one.turns] == [("user", "root"), ("assistant", "better"), ("us\ner", "other")]
     assert [one.formatted[s.start : s.end] for s in one.loss] == ["better"]
+    again = messages.union(messages).union(spark.createDataFrame([(None, 1, None, "user", "x", 0.0), (1, None, None, "user", "x", 0.0)], messages.schema))
+    assert {r.formatted for r in chat.format_conversations(again).collect()} == {r.formatted for r in best}
     assert [(t.role, t.text) for t in next(r for r in best if r.conv_id == 3).turns] == [("", chat.PROBE)]
     assert chat.format_conversations(messages.limit(0)).collect() == []
 
