@@ -35,13 +35,23 @@ _FOLD = 1 << 20
 # ---- fingerprints
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """The SimHash of a text's word shingles as a signed 64-bit number; 0 without words."""
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of the same shingles for the k-th fingerprint: a 64-bit finalizer; the 0th is the hash itself."""
+    if k:
+        h = h + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def fingerprint(text: str | None, words: int = WORDS, tables: int = 1, seed: int = SEED) -> list[int]:
+    """SimHashes of a text's word shingles as signed 64-bit numbers, ``tables`` independent ones; 0 without words."""
     import xxhash
 
     found = (text or "").encode().lower().split()  # bytes: lower-cases A-Z, splits at ASCII white space
     if not found:
-        return 0
+        return [0] * tables
     joined, digest = b" ".join(found), xxhash.xxh64_intdigest
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     if len(found) < words:
@@ -49,17 +59,20 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     else:
         starts = np.concatenate(([0], ends[:-1] + 1))
         h = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts.tolist(), ends[words - 1 :].tolist())), np.uint64, len(found) - words + 1)
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros((tables, BITS), np.int64)
     for part in range(0, len(h), 8192):
-        piece = h[part : part + 8192]
-        ones += np.unpackbits(piece.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h)).view(">u8").astype(np.uint64).view(np.int64)[0])
+        for k in range(tables):
+            piece = _mixed(h[part : part + 8192], k)
+            ones[k] += np.unpackbits(piece.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), axis=1).view(">u8").astype(np.uint64).view(np.int64).ravel().tolist()
 
 
-def fingerprints(text: Column, words: int = WORDS) -> Column:
-    @F.pandas_udf("long")
+def fingerprints(text: Column, words: int = WORDS, tables: int = 1) -> Column:
+    """array<bigint> of a text's fingerprints."""
+
+    @F.pandas_udf("array<bigint>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
+        return texts.map(lambda t: fingerprint(t, words, tables))
 
     return of(text)
 
@@ -174,13 +187,13 @@ class _Forest:
         return at, self.label[at]
 
 
-def _group_links(codes: np.ndarray, lead: int, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest links among one top node's fingerprints, as fingerprints."""
+def _group_links(codes: np.ndarray, ids: np.ndarray, lead: int, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forest links among one top node's fingerprints, as ids."""
     turned = rotated(codes.view(np.uint64), lead)
     order = np.argsort(gray_rank(turned), kind="stable")
     cross = apart[order] if apart.min() != apart.max() else None
     a, b = GrayIndex(turned[order]).links(most, cross)
-    return codes[order[a]], codes[order[b]]
+    return ids[order[a]], ids[order[b]]
 
 
 # ---- on DataFrames
@@ -193,12 +206,12 @@ def blocks(most: int) -> list[tuple[int, int]]:
 
 
 def near_links(prints: DataFrame, most: int = MAX_DIFFERENCES, chunk: int = CHUNK) -> DataFrame:
-    """Distinct fingerprints (fp) to links (u, v) between fingerprints that differ in at most ``most`` bits.
+    """(id, fps), one row per id, to links (u, v) between ids of which a fingerprint differs in at most ``most`` bits.
 
-    The links connect exactly the fingerprints that all near pairs would connect: of each group only a
-    spanning forest is returned, so a dense group of n codes gives fewer than n links, not n squared. Groups
-    under a top node go to tasks; a node of more than ``chunk`` codes is dealt in chunks, each pair of chunks a
-    group of its own, so that no task holds more than two chunks of it.
+    Fingerprints are compared with those at the same place of the arrays. The links connect exactly the ids that all
+    near pairs would connect: of each group only a spanning forest is returned, so a dense group of n gives fewer
+    than n links, not n squared. Groups under a top node go to tasks; a node of more than ``chunk`` codes is dealt in
+    chunks, each pair of chunks a group of its own, so that no task holds more than two chunks of it.
     """
     spark, fp = prints.sparkSession, F.col("fp")
     tops = F.array(
@@ -207,32 +220,34 @@ def near_links(prints: DataFrame, most: int = MAX_DIFFERENCES, chunk: int = CHUN
             for k, (at, width) in enumerate(blocks(most))
         )
     )
-    entries = prints.select("fp", F.inline(tops))
-    large = checkpoint(entries.groupBy("r", "top").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("r", "top", F.ceil(F.col("n") / chunk).cast("int").alias("c")))
-    dealt = entries.join(hinted(large), ["r", "top"], "left").withColumn("c", F.coalesce("c", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
+    entries = prints.select("id", F.posexplode("fps").alias("t", "fp")).select("id", "t", "fp", F.inline(tops))
+    large = checkpoint(entries.groupBy("t", "r", "top").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("t", "r", "top", F.ceil(F.col("n") / chunk).cast("int").alias("c")))
+    dealt = entries.join(hinted(large), ["t", "r", "top"], "left").withColumn("c", F.coalesce("c", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
-    dealt = dealt.withColumn("x", other).select("fp", "r", "top", "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
-    by = ["r", "top", "i", "j"]
+    node = (F.col("t") * len(blocks(most)) + F.col("r")).cast("int").alias("node")
+    dealt = dealt.withColumn("x", other).select("fp", "id", node, "top", "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
+    by = ["node", "top", "i", "j"]
     starts = [at for at, _ in blocks(most)]
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        group = [2, 3, 5, 6]
 
         def found(rows: np.ndarray):
             if len(rows) > 1:
-                u, v = _group_links(np.ascontiguousarray(rows[:, 0]), starts[int(rows[0, 1])], rows[:, 3], most)
+                u, v = _group_links(np.ascontiguousarray(rows[:, 0]), rows[:, 1], starts[int(rows[0, 2]) % len(starts)], rows[:, 4], most)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("fp", "r", "top", "own", "i", "j")], axis=1)
+            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("fp", "id", "node", "top", "own", "i", "j")], axis=1)
             if not len(rows):
                 continue
-            if held and (held[-1][-1, [1, 2, 4, 5]] != rows[0, [1, 2, 4, 5]]).any():
+            if held and (held[-1][-1, group] != rows[0, group]).any():
                 yield from found(np.concatenate(held))
                 held = []
-            ends = np.flatnonzero((rows[1:, [1, 2, 4, 5]] != rows[:-1, [1, 2, 4, 5]]).any(axis=1)) + 1
+            ends = np.flatnonzero((rows[1:, group] != rows[:-1, group]).any(axis=1)) + 1
             parts = np.split(rows, ends)
             for part in parts[:-1]:
                 yield from found(np.concatenate([*held, part]))
@@ -246,40 +261,42 @@ def near_links(prints: DataFrame, most: int = MAX_DIFFERENCES, chunk: int = CHUN
 
 
 def classes(prints: DataFrame, most: int = MAX_DIFFERENCES) -> DataFrame:
-    """(fp, rep), one row per distinct fingerprint, to (fp, component): the least ``rep`` reachable by links."""
-    links = checkpoint(near_links(prints.select("fp"), most))
-    roots = connected_components(links)
+    """(id, fps, rep), one row per id, to (id, component): the least ``rep`` reachable by links."""
+    links = checkpoint(near_links(prints.select("id", "fps"), most).distinct())
+    roots = connected_components(links).withColumnRenamed("node", "id")
     # only fingerprints with a link need the joins
-    members = prints.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = members.groupBy("root").agg(F.min("rep").alias("component"))
-    linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component")
-    return prints.join(linked, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    least = prints.join(roots, "id").groupBy("root").agg(F.min("rep").alias("component"))
+    linked = roots.join(least, "root").select("id", "component")
+    return prints.join(linked, "id", "left").select("id", F.coalesce("component", "rep").alias("component"))
 
 
-def simhash_classes(docs: DataFrame, most: int = MAX_DIFFERENCES, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row (key, fp, component_id) per input row: its fingerprint and the least key of its near-duplicates.
+def simhash_classes(docs: DataFrame, most: int = MAX_DIFFERENCES, words: int = WORDS, tables: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row (key, fps, id, component_id) per input row: its fingerprints and the least key of its near-duplicates.
 
-    Exact copies share a fingerprint and are searched once. Texts without words, null texts among them, have
-    fingerprint 0, which links like any other. A text of fewer words than a shingle is one shingle. A null key
-    never is a component's name unless the component has no other; repeated rows each get their row.
+    With several ``tables``, texts are near if any of their independent fingerprints are; that finds more of the
+    pairs whose shingles differ somewhat. Exact copies share fingerprints and are searched once. ``id`` is the
+    fingerprint, or a 64-bit hash of several. Texts without words, null texts among them, have fingerprint 0, which
+    links like any other. A text of fewer words than a shingle is one shingle. A null key never is a component's name
+    unless the component has no other; repeated rows each get their row.
     """
-    prints = materialize(docs.select(F.col(key).alias(key), fingerprints(F.col(text), words).alias("fp")), "fingerprints")
-    reps = materialize(prints.groupBy("fp").agg(F.min(key).alias("rep")), "distinct-fingerprints")
+    of = docs.select(F.col(key).alias(key), fingerprints(F.col(text), words, tables).alias("fps"))
+    prints = materialize(of.withColumn("id", F.get("fps", F.lit(0)) if tables == 1 else F.xxhash64("fps")), "fingerprints")
+    reps = materialize(prints.groupBy("id", "fps").agg(F.min(key).alias("rep")), "distinct-fingerprints")
     found = checkpoint(classes(reps, most))
-    return prints.join(found, "fp").select(key, "fp", F.col("component").alias("component_id"))
+    return prints.join(found, "id").select(key, "fps", "id", F.col("component").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, most: int = MAX_DIFFERENCES, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, most: int = MAX_DIFFERENCES, words: int = WORDS, tables: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with one of each group of near-duplicates left, that of the least key.
 
     The dropped keys are broadcast behind a count, else joined. Rows with a null key stay. Where keys repeat,
     a key doesn't tell a row: the rows are then matched by key and fingerprint, and one row of a group stays.
     """
-    found = checkpoint(simhash_classes(docs, most, words, key, text))
+    found = checkpoint(simhash_classes(docs, most, words, tables, key, text))
     if found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
-        best = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__ls_key"), F.col("fp").alias("__ls_fp")).dropDuplicates(["__ls_key"])
-        named = docs.withColumn("__ls_of", fingerprints(F.col(text), words))
-        kept = named.join(best, (named[key] == best["__ls_key"]) & (named["__ls_of"] == best["__ls_fp"]), "left_semi").dropDuplicates([key])
+        best = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__ls_key"), F.col("fps").alias("__ls_fps")).dropDuplicates(["__ls_key"])
+        named = docs.withColumn("__ls_of", fingerprints(F.col(text), words, tables))
+        kept = named.join(best, (named[key] == best["__ls_key"]) & (named["__ls_of"] == best["__ls_fps"]), "left_semi").dropDuplicates([key])
         return kept.union(named.where(F.col(key).isNull())).drop("__ls_of")
     drop = checkpoint(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__ls_key")))
     return docs.join(hinted(drop), docs[key] == F.col("__ls_key"), "left_anti")
@@ -287,4 +304,4 @@ def near_dedup(docs: DataFrame, most: int = MAX_DIFFERENCES, words: int = WORDS,
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_classes(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("id")), 16, "0").alias("fingerprint"), "component_id")

@@ -43,7 +43,9 @@ TEXTS = ["", None, "a", "A b", "one Two three four", "ONE two three four", "É 
 @pytest.mark.parametrize("words", [4, 5])
 @pytest.mark.parametrize("text", TEXTS)
 def test_fingerprint(text, words):
-    assert S.fingerprint(text, words) & (2**64 - 1) == slow_print(text, words)
+    assert S.fingerprint(text, words)[0] & (2**64 - 1) == slow_print(text, words)
+    several = S.fingerprint(text, words, 8)
+    assert several[0] == S.fingerprint(text, words)[0] and (len(set(several)) > 1 or not (text or "").strip())
 
 
 @pytest.mark.parametrize("n,spread", [(1, 64), (2, 64), (40, 20), (700, 64), (900, 12), (400, 5)])
@@ -69,7 +71,7 @@ def test_links_in_chunks_connect_the_same(spark, chunk):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 6, dtype=np.uint64)
     codes = np.unique(base[rng.integers(0, 6, 90)] ^ (np.uint64(1) << rng.integers(0, 64, 90).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 90).astype(np.uint64)))
-    prints = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    prints = spark.createDataFrame([(int(c), [int(c)]) for c in codes.view(np.int64)], "id long, fps array<long>")
     roots = {r.node: r.root for r in connected_components(S.near_links(prints, chunk=chunk)).collect()}
     want = slow_components(len(codes), lambda a, b: int(codes[a] ^ codes[b]).bit_count() <= 4)
     signed = codes.view(np.int64).tolist()
@@ -85,10 +87,34 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u string, v string")).collect() == []
 
 
+def test_any_of_several_fingerprints_links(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, (12, 3), dtype=np.uint64)
+    rows = base[rng.integers(0, 12, 60)] ^ rng.integers(0, 2**63, (60, 3), dtype=np.uint64) * rng.integers(0, 2, (60, 3), dtype=np.uint64)
+    rows ^= np.uint64(1) << rng.integers(0, 64, (60, 3)).astype(np.uint64)
+    prints = spark.createDataFrame([(k, r, 100 + k) for k, r in enumerate(rows.view(np.int64).tolist())], "id long, fps array<long>, rep long")
+    near = lambda a, b: bool((np.bitwise_count(rows[a] ^ rows[b]) <= 4).any())
+    got = {r.id: r.component for r in S.classes(prints).collect()}
+    assert [got[k] for k in range(60)] == [100 + x for x in slow_components(60, near)]
+
+
+def test_more_tables_find_more(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(40):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(120)]
+        rows.append((2 * k, " ".join(words)))
+        words[rng.randrange(120)] = "changed"
+        rows.append((2 * k + 1, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, eight = (S.near_dedup(docs, words=5, tables=n).count() for n in (1, 8))
+    assert eight <= 45 and eight < one
+
+
 def test_classes_of_odd_rows(spark):
     text = " ".join(f"w{k}" for k in range(80))
     rows = [(5, text), (3, text), (9, text.upper()), (4, None), (2, ""), (8, "  "), (None, text), (7, "alone here"), (7, "alone here")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("x")).withColumn("fp", F.lit("y"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("x")).withColumn("fps", F.lit("y"))
     got = sorted(((r.doc_id, r.component_id) for r in S.simhash_classes(docs).collect()), key=str)
     assert got == sorted([(5, 3), (3, 3), (9, 3), (None, 3), (4, 2), (2, 2), (8, 2), (7, 7), (7, 7)], key=str)
     assert S.simhash_classes(docs.limit(0)).collect() == []
