@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words in the cache at most, between batches, and the longest word that stays in it.
-MOST_WORDS = 600_000
+MOST_WORDS = 300_000
 LONGEST = 40
 #: Letters below this are composed as they are and have one lower-case form, whatever stands around them.
 COMPLEX = "\u0130"
