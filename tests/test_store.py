@@ -10,7 +10,7 @@ def engine(spark, tmp_path):
     out = Engine(spark, f"file://{tmp_path}/warehouse")
     for sql in ("CREATE DATABASE shop", "USE shop", "CREATE TABLE users (id INT, name STRING, age INT, city STRING, active BOOLEAN, role STRING)"):
         out.execute(sql)
-    for r in ("1, 'Yunus', 21, 'Malatya', TRUE, 'user'", "2, 'Ali', 17, 'Ankara', TRUE, 'user'", "3, 'Ayşe', 27, 'Malatya', FALSE, 'admin'", "4, 'Can', 30, 'Istanbul', TRUE, 'banned'"):
+    for r in ("1, 'Deniz', 21, 'Malatya', TRUE, 'user'", "2, 'Ali', 17, 'Ankara', TRUE, 'user'", "3, 'Ayşe', 27, 'Malatya', FALSE, 'admin'", "4, 'Can', 30, 'Istanbul', TRUE, 'banned'"):
         out.execute(f"INSERT INTO users (id, name, age, city, active, role) VALUES ({r})")
     return out
 
@@ -75,9 +75,9 @@ def test_append_frames(engine, spark):
 
 def test_all_types(engine):
     engine.execute("CREATE TABLE kinds (a INTEGER, b BIGINT, c REAL, d BOOL, e VARCHAR)")
-    engine.execute("INSERT INTO kinds (a, b, c, d, e) VALUES (42, 9000000000, 95.75, TRUE, 'İnönü Üniversitesi')")
+    engine.execute("INSERT INTO kinds (a, b, c, d, e) VALUES (42, 9000000000, 95.75, TRUE, 'Şehir Kütüphanesi')")
     engine.execute("INSERT INTO kinds (a, b, c, d, e) VALUES (1, 2, 3, FALSE, '')")  # widened
-    assert {tuple(r) for r in engine.sql("SELECT * FROM kinds").collect()} == {(42, 9000000000, 95.75, True, "İnönü Üniversitesi"), (1, 2, 3.0, False, "")}
+    assert {tuple(r) for r in engine.sql("SELECT * FROM kinds").collect()} == {(42, 9000000000, 95.75, True, "Şehir Kütüphanesi"), (1, 2, 3.0, False, "")}
     assert engine.sql("SELECT * FROM kinds").dtypes == [("a", "int"), ("b", "bigint"), ("c", "double"), ("d", "boolean"), ("e", "string")]
 
 
@@ -145,7 +145,7 @@ def test_indexes(engine):
     ix.create("by_city", "shop", "users", "city")
     ix.create("by_id", "shop", "users", "id", IndexKind.PRIMARY)
     assert sorted(r.rid for r in ix.search("by_city", "Malatya").collect()) == [0, 2]
-    assert sorted(r.name for r in ix.resolve("by_city", "Malatya").collect()) == ["Ayşe", "Yunus"]
+    assert sorted(r.name for r in ix.resolve("by_city", "Malatya").collect()) == ["Ayşe", "Deniz"]
     assert [r.key for r in ix.entries("by_id").collect()] == [1, 2, 3, 4]
     ix.insert("by_id", 5, 77)
     ix.update("by_id", 5, 6, 77)
