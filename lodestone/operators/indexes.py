@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 from enum import Enum
 from typing import Any
 
@@ -36,12 +37,18 @@ class Index:
 
 class Indexes:
     """Index names are unique over all databases. Entries are (key, rid) rows, sorted by key within their files, so
-    that a lookup skips row groups by their statistics."""
+    that a lookup skips row groups by their statistics. Definitions are kept beside the entries, so a later session
+    finds its indexes again."""
 
     def __init__(self, store: Store):
         self.store, self.known = store, {}
         if not store.has_database(DATABASE):
             store.create_database(DATABASE)
+        self.folder = f"{store.root}/{DATABASE}/_definitions"
+        store.fs.make(self.folder)
+        for name in store.fs.names(self.folder):
+            found = json.loads(store.fs.read(f"{self.folder}/{name}"))
+            self.known[found["name"].lower()] = Index(**found | {"kind": IndexKind(found["kind"])})
 
     def create(self, name: str, database: str, table: str, column: str, kind: IndexKind = IndexKind.NON_UNIQUE, build: bool = True) -> Index:
         """A new index, filled from the table unless ``build`` is off."""
@@ -59,6 +66,7 @@ class Indexes:
         if rows is not None:
             entries.append(rows.sort("key"))
         self.known[name.lower()] = out = Index(name, database, table, field[0], kind)
+        self.store.fs.create(f"{self.folder}/{name.lower()}.json", json.dumps(asdict(out) | {"kind": kind.value}))
         return out
 
     def get(self, name: str) -> Index:
@@ -115,6 +123,7 @@ class Indexes:
     def drop(self, name: str) -> None:
         self.get(name)
         self.store.drop_table(DATABASE, name)
+        self.store.fs.remove(f"{self.folder}/{name.lower()}.json")
         del self.known[name.lower()]
 
     def drop_of_table(self, database: str, table: str) -> int:

@@ -181,6 +181,15 @@ class DropTable(Statement):
     name: str
 
 
+def select_all(table: str, where: Expression | None = None) -> Select:
+    return Select(TableRef(table), where=where)
+
+
+def select_columns(table: str, *columns: str, where: Expression | None = None) -> Select:
+    """Columns by name, which may be qualified."""
+    return Select(TableRef(table), tuple(SelectItem(ColumnRef(*reversed(c.split(".", 1)))) for c in columns), where=where)
+
+
 def aggregates(expression: Expression | None) -> list[AggregateCall]:
     """The aggregate calls inside an expression, in order."""
     if isinstance(expression, AggregateCall):

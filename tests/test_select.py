@@ -146,6 +146,12 @@ def test_limits(engine):
     assert rows(engine, "SELECT name FROM users ORDER BY users.age DESC FETCH NEXT 1 ROW ONLY") == [("Mehmet",)]
 
 
+def test_statement_helpers(engine):
+    young = t.Comparison("<", t.ColumnRef("age"), t.Literal(20))
+    assert engine.execute(t.select_all("users", young)).columns == ["id", "name", "age", "city", "active"]
+    assert [tuple(r) for r in engine.execute(t.select_columns("users", "users.name", "age", where=young)).collect()] == [("Ali", 16)]
+
+
 def test_statement_objects(engine):
     s = t.Select(
         t.TableRef("employee", "e"),

@@ -147,6 +147,8 @@ def test_indexes(engine):
     assert sorted(r.rid for r in ix.search("by_city", "Malatya").collect()) == [0, 2]
     assert sorted(r.name for r in ix.resolve("by_city", "Malatya").collect()) == ["Ayşe", "Deniz"]
     assert [r.key for r in ix.entries("by_id").collect()] == [1, 2, 3, 4]
+    later = Engine(engine.spark, engine.store.root).indexes
+    assert later.get("BY_ID").kind is IndexKind.PRIMARY and [r.rid for r in later.search("by_id", 3).collect()] == [2]
     ix.insert("by_id", 5, 77)
     ix.update("by_id", 5, 6, 77)
     assert ix.delete("by_id", 6) == 1 and ix.search("by_id", 6).count() == 0
@@ -157,6 +159,7 @@ def test_indexes(engine):
     with pytest.raises(e.UnknownColumn):
         ix.create("x", "shop", "users", "nick")
     assert ix.drop_of_table("shop", "users") == 2 and ix.known == {}
+    assert Engine(engine.spark, engine.store.root).indexes.known == {}
 
 
 def test_stream(engine, spark, tmp_path):
