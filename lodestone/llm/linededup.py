@@ -239,6 +239,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     near = members.join(least, "root").select("k1", "k2", "keep")
     keep = groups.join(near, ["k1", "k2"], "left").withColumn("keep", F.coalesce("keep", "first"))
     doubled = keep.where((F.col("copies") > 1) | ~F.col("keep").eqNullSafe(F.col("first"))).select("k1", "k2", "keep")
+    doubled = materialize(doubled, "doubled-lines")  # a plain scan, so that adaptive execution can split a common line
     gone = narrow.select(key, "d", "n", "k1", "k2").join(doubled, ["k1", "k2"]).where(~F.col("keep").eqNullSafe(place))
     return gone.groupBy(key, "d").agg(F.sort_array(F.collect_set("n")).alias("removed"))
 
