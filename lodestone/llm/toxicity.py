@@ -68,19 +68,22 @@ def train(found: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
     n = len(y)
     share = (y.sum() + 0.5) / (n + 1)
     bias = float(np.log(share / (1 - share)))
-    row = np.repeat(np.arange(n), [len(f) for f in found]) if n else np.zeros(0, int)
-    col = np.concatenate(found).astype(np.int64) if n else np.zeros(0, np.int64)
-    df = np.bincount(col, minlength=BUCKETS).astype(float)
-    hit = np.bincount(col, weights=y[row] if n else None, minlength=BUCKETS)
+    df, hit = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for f, label in zip(found, y):  # a document at a time: all their buckets at once would be the largest array here
+        df[f] += 1
+        hit[f] += label
     p = y.sum()
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = n * (hit * (n - p) - (df - hit) * p) ** 2 / (df * (n - df) * p * (n - p))
     chi2 = np.where((df >= LEAST_DOCS) & np.isfinite(chi2), chi2, 0)
     best = np.argsort(-chi2, kind="stable")[:TERMS]
     buckets = np.sort(best[chi2[best] >= LEAST_CHI2])
-    k = np.searchsorted(buckets, col)
-    ok = (k < len(buckets)) & (buckets[np.minimum(k, len(buckets) - 1)] == col) if len(buckets) else np.zeros(len(col), bool)
-    row, col, m = row[ok], k[ok], len(buckets)
+    m = len(buckets)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[buckets] = np.arange(m)
+    kept = [k[k >= 0] for k in (place[f] for f in found)]
+    row = np.repeat(np.arange(n), [len(k) for k in kept]) if n else np.zeros(0, int)
+    col = np.concatenate(kept).astype(np.int64) if n else np.zeros(0, np.int64)
     params = [np.array([bias]), np.zeros(m), rng.normal(0, 0.01, (m, FACTORS))]
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in params]
     for step in range(1, STEPS + 1 if m else 1):
@@ -116,8 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
         return texts.map(lambda t: terms(t, known).tobytes())
 
     rows = docs.select(key, text).join(chosen, key).select(key, packed(F.col(text)).alias("t"), F.col("__ls_y").alias("y")).collect()
-    rows = sorted(rows, key=lambda r: (r[0], bytes(r.t)))
-    return train([np.frombuffer(bytes(r.t), np.int32) for r in rows], np.array([int(r.y > 0) for r in rows]))
+    rows = sorted(rows, key=lambda r: (r[0], r.t))
+    return train([np.frombuffer(r.t, np.int32) for r in rows], np.array([int(r.y > 0) for r in rows]))
 
 
 def scored(docs: DataFrame, machine: FactorizationMachine, text: str = "text") -> DataFrame:
