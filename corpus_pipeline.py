@@ -12,11 +12,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import WHITE, materialize
 from lodestone.llm.linededup import line_dedup
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.packing import pack_documents
-from lodestone.llm.quality import quality_rules
+from lodestone.llm.quality import MIN_WORDS, quality_rules, words_of
 from lodestone.llm.simhash import near_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,8 +32,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and documents of which they were all but scraps; n_chars follows the text."""
-    left = line_dedup(docs).where("n_removed = 0 or n_long_left > 0")
+    """Repeated lines go, and documents of which they were all but scraps; n_chars follows the text.
+
+    Scraps hold fewer words than the quality rules ask for and less than half of the text, and no line that the
+    dedup looks at. A document that keeps more than that stays, however short its lines.
+    """
+    left = line_dedup(docs.withColumn("__ls_size", F.length("text")))
+    much = (F.size(words_of(F.col("text"))) >= MIN_WORDS) | ((F.length("text") * 2 >= F.col("__ls_size")) & F.col("text").rlike(f"[^{WHITE}]"))
+    left = left.where((F.col("n_removed") == 0) | (F.col("n_long_left") > 0) | much)
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
