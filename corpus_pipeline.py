@@ -17,12 +17,13 @@ from lodestone.llm.linededup import line_dedup
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import MIN_WORDS, quality_rules, words_of
-from lodestone.llm.simhash import near_dedup
+from lodestone.llm.simhash import similar_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Near-duplicates in the pipeline share most of their five-word shingles. Of eight independent fingerprints one has to be
-#: near, which finds nearly all texts that share 95 % of their shingles and about half of those that share 85 %.
+#: Near-duplicates in the pipeline share at least SIMILARITY of their five-word shingles. Candidates are texts of which one
+#: of eight SimHashes or of the min-wise fingerprints is near; the shingles themselves decide.
 SHINGLE_WORDS, FINGERPRINTS = 5, 8
+MINWISE, SIMILARITY = 16, 0.8
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -44,8 +45,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return near_dedup(docs, words=SHINGLE_WORDS, tables=FINGERPRINTS).select(*COLUMNS)
+    """One document of each group of near-duplicates stays, all links of which were verified."""
+    return similar_dedup(docs, SIMILARITY, words=SHINGLE_WORDS, tables=FINGERPRINTS, minwise=MINWISE).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ MAX_DIFFERENCES = 4
 LEAF, FANOUT = 16, 4
 #: Top nodes of more codes are dealt in chunks, every pair of chunks a task's group of its own.
 CHUNK = 4096
+#: Shingles in a chunk of texts whose similarity is verified; a task holds two chunks.
+CHUNK_SHINGLES = 1 << 17
 #: Links kept in memory before they are contracted to a forest.
 _FOLD = 1 << 20
 
@@ -45,20 +47,24 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def fingerprint(text: str | None, words: int = WORDS, tables: int = 1, seed: int = SEED) -> list[int]:
-    """SimHashes of a text's word shingles as signed 64-bit numbers, ``tables`` independent ones; 0 without words."""
+def shingles(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Hashes of a text's word shingles in their order; a text of fewer words is one shingle, one without words has none."""
     import xxhash
 
     found = (text or "").encode().lower().split()  # bytes: lower-cases A-Z, splits at ASCII white space
     if not found:
-        return [0] * tables
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(found), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in found]) - 1
     if len(found) < words:
-        h = np.array([digest(joined, seed)], dtype=np.uint64)
-    else:
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        h = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts.tolist(), ends[words - 1 :].tolist())), np.uint64, len(found) - words + 1)
+        return np.array([digest(joined, seed)], dtype=np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts.tolist(), ends[words - 1 :].tolist())), np.uint64, len(found) - words + 1)
+
+
+def _simhashes(h: np.ndarray, tables: int) -> list[int]:
+    if not len(h):
+        return [0] * tables
     ones = np.zeros((tables, BITS), np.int64)
     for part in range(0, len(h), 8192):
         for k in range(tables):
@@ -67,12 +73,37 @@ def fingerprint(text: str | None, words: int = WORDS, tables: int = 1, seed: int
     return np.packbits(ones * 2 > len(h), axis=1).view(">u8").astype(np.uint64).view(np.int64).ravel().tolist()
 
 
-def fingerprints(text: Column, words: int = WORDS, tables: int = 1) -> Column:
+def _minwise(h: np.ndarray, tables: int) -> list[int]:
+    """Fingerprints of which each bit is one bit of the shingles' minimum under a hash of its own.
+
+    Of two texts of shingle similarity s a bit differs with probability (1 - s) / 2: 6.4 of 64 bits at 0.8.
+    """
+    if not len(h):
+        return [0] * tables
+    h = np.unique(h)
+    factors = np.random.default_rng(SEED).integers(0, 2**63, (tables, BITS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    bits = np.zeros((tables, BITS), np.uint8)
+    for k in range(tables):
+        least = np.full(BITS, 2**64 - 1, np.uint64)
+        for part in range(0, len(h), 2048):
+            least = np.minimum(least, (factors[k] * h[part : part + 2048]).min(axis=1))
+        bits[k] = (least >> np.uint64(20)) & np.uint64(1)
+    return np.packbits(bits, axis=1).view(">u8").astype(np.uint64).view(np.int64).ravel().tolist()
+
+
+def fingerprint(text: str | None, words: int = WORDS, tables: int = 1, seed: int = SEED, minwise: int = 0) -> list[int]:
+    """SimHashes of a text's word shingles as signed 64-bit numbers, ``tables`` independent ones, then ``minwise``
+    min-wise fingerprints; 0 without words."""
+    h = shingles(text, words, seed)
+    return _simhashes(h, tables) + (_minwise(h, minwise) if minwise else [])
+
+
+def fingerprints(text: Column, words: int = WORDS, tables: int = 1, minwise: int = 0) -> Column:
     """array<bigint> of a text's fingerprints."""
 
     @F.pandas_udf("array<bigint>")
     def of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: fingerprint(t, words, tables))
+        return texts.map(lambda t: fingerprint(t, words, tables, minwise=minwise))
 
     return of(text)
 
@@ -286,6 +317,129 @@ def simhash_classes(docs: DataFrame, most: int = MAX_DIFFERENCES, words: int = W
     return prints.join(found, "id").select(key, "fps", "id", F.col("component").alias("component_id"))
 
 
+# ---- verification by shingles
+
+
+def _similar(sets: list[np.ndarray], own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as positions (a, b), of the pairs whose sets have a Jaccard similarity of at least ``least``.
+
+    Where ``own`` has two values, only pairs of different ones count. Sets without members equal each other.
+    """
+    sizes = np.array([len(x) for x in sets])
+    order = np.argsort(sizes, kind="stable")
+    sizes, side, cross = sizes[order], own[order], own.min() != own.max()
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    names, flat = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    forest, mark = _Forest(len(sets)), np.zeros(len(names), bool)
+    for a in range(len(sets)):
+        end = int(np.searchsorted(sizes, sizes[a] / least + 1e-9, "right"))  # what is larger can't be similar
+        b = np.arange(a + 1, end)
+        b = b[forest.label[a + 1 : end] != forest.label[a]]
+        if cross:
+            b = b[side[b] != side[a]]
+        if not len(b):
+            continue
+        if sizes[a]:
+            mark[flat[starts[a] : starts[a + 1]]] = True
+            met = mark[np.concatenate([flat[starts[k] : starts[k + 1]] for k in b])]
+            shared = np.add.reduceat(met, np.concatenate(([0], np.cumsum(sizes[b])[:-1])), dtype=np.int64)
+            mark[flat[starts[a] : starts[a + 1]]] = False
+            b = b[shared >= least * (sizes[a] + sizes[b] - shared) - 1e-9]
+        forest.add(np.full(len(b), a), b)
+    a, b = forest.edges()
+    return order[a], order[b]
+
+
+def similar_links(sets: DataFrame, least: float, chunk: int | None = None) -> DataFrame:
+    """(group, unit, n, shingles) to links (u, v) that connect exactly the units of one group that pairs of similarity
+    ``least`` or more connect. ``shingles``: the bytes of n distinct 64-bit hashes. A group of more than ``chunk``
+    shingles is dealt in chunks, each pair of chunks a task's group, so it is read as often as it has chunks."""
+    spark, most = sets.sparkSession, CHUNK_SHINGLES if chunk is None else chunk
+    parts = materialize(sets.groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / most)).cast("int").alias("c")), "chunks")
+    dealt = sets.join(hinted(parts), "group").withColumn("own", F.pmod(F.xxhash64("unit"), F.col("c")).cast("int"))
+    dealt = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    by = ["group", "i", "j"]
+    dealt = dealt.select("group", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "unit", "shingles")
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def found():
+            if len(held) > 1:
+                units = np.array([u for u, _, _ in held], np.int64)
+                u, v = _similar([np.frombuffer(x, np.uint64) for _, _, x in held], np.array([o for _, o, _ in held]), least)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(units[u]), pa.array(units[v])], names=["u", "v"])
+
+        for batch in batches:
+            for g, i, j, own, unit, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, i, j) != at:
+                    yield from found()
+                    at, held = (g, i, j), []
+                held.append((unit, own, x))
+        yield from found()
+
+    return dealt.repartition(partitions(spark), *by).sortWithinPartitions(*by).mapInArrow(search, "u long, v long")
+
+
+def _first(key: str, unit: str) -> Column:
+    """What orders rows: null keys last."""
+    return F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(unit).alias("unit"))
+
+
+def verified_classes(docs: DataFrame, prints: DataFrame, least: float, most: int, words: int, key: str, text: str) -> DataFrame:
+    """``prints`` (key, fps, id, unit: the text's xxhash64) to (unit, first), one row per text: the first (key, unit)
+    of the texts that pairs of shingle similarity ``least`` or more connect to it.
+
+    The fingerprints' components say what may be near; inside each the shingle sets of its texts decide.
+    """
+    reps = materialize(prints.groupBy("id", "fps").agg(F.count(F.lit(1)).alias("n")).select("id", "fps"), "distinct-fingerprints")
+    near = connected_components(checkpoint(near_links(reps, most).distinct())).select(F.col("node").alias("id"), "root")
+    units = materialize(prints.groupBy("id", "unit").agg(F.min(_first(key, "unit")).alias("first")), "texts")
+    grouped = materialize(units.join(near, "id", "left").select("unit", "first", F.coalesce("root", "id").alias("group")), "candidates")
+    several = grouped.groupBy("group").count().where("count > 1").select("group")
+    wanted = materialize(grouped.join(hinted(materialize(several, "candidate-groups")), "group", "left_semi"), "candidate-texts")
+    asked = wanted.select("group", "unit", F.col("first.key").alias("__ls_key"))
+    there = docs[key].eqNullSafe(F.col("__ls_key")) & (F.xxhash64(docs[text]) == F.col("unit"))
+    rows = docs.join(hinted(asked), there).select("group", "unit", F.col(text).alias("text")).dropDuplicates(["unit"])
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 500):
+                part = batch.slice(a, 500)
+                sets = [np.unique(shingles(t, words)) for t in part.column(2).to_pylist()]
+                columns = [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["group", "unit", "n", "shingles"])
+
+    sets = materialize(rows.mapInArrow(cut, "group long, unit long, n int, shingles binary"), "shingles")
+    roots = connected_components(checkpoint(similar_links(sets, least))).withColumnRenamed("node", "unit")
+    linked = wanted.join(roots, "unit")
+    first = linked.groupBy("root").agg(F.min("first").alias("best"))
+    best = materialize(linked.join(first, "root").select("unit", "best"), "similar-texts")
+    return units.join(hinted(best), "unit", "left").select("unit", F.coalesce("best", "first").alias("first"))
+
+
+def similar_dedup(docs: DataFrame, least: float, most: int = MAX_DIFFERENCES, words: int = WORDS, tables: int = 1, minwise: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with one of each group left that pairs of shingle similarity ``least`` or more connect.
+
+    The fingerprints, ``tables`` SimHashes and ``minwise`` min-wise ones, only find candidates; a link counts if the
+    whole texts' shingle sets are similar. Of a group the row of the least key stays, of rows that repeat a key and a
+    text one; rows with a null key stay. Texts without words are alike.
+    """
+    of = docs.select(F.col(key).alias(key), fingerprints(F.col(text), words, tables, minwise).alias("fps"), F.xxhash64(text).alias("unit"))
+    prints = materialize(of.withColumn("id", F.xxhash64("fps")), "fingerprints")
+    named = materialize(verified_classes(docs, prints, least, most, words, key, text), "similar-classes")
+    found = checkpoint(prints.select(key, "unit").join(named, "unit"))
+    if found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
+        best = found.where((F.col(key) == F.col("first.key")) & (F.col("unit") == F.col("first.unit")))
+        best = best.select(F.col(key).alias("__ls_key"), F.col("unit").alias("__ls_unit")).distinct()
+        rows = docs.withColumn("__ls_of", F.xxhash64(text))
+        kept = rows.join(best, (rows[key] == best["__ls_key"]) & (rows["__ls_of"] == best["__ls_unit"]), "left_semi").dropDuplicates([key, "__ls_of"])
+        return kept.union(rows.where(F.col(key).isNull())).drop("__ls_of")
+    drop = checkpoint(found.where(F.col(key) != F.col("first.key")).select(F.col(key).alias("__ls_key")))
+    return docs.join(hinted(drop), docs[key] == F.col("__ls_key"), "left_anti")
+
+
 def near_dedup(docs: DataFrame, most: int = MAX_DIFFERENCES, words: int = WORDS, tables: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with one of each group of near-duplicates left, that of the least key.
 

@@ -1,6 +1,12 @@
 """Stages of the pipeline on rows made for them."""
 
+import random
+
+import pytest
+
 import corpus_pipeline
+from lodestone.llm import simhash
+from test_near import slow_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 HEADER = "a header that many documents repeat"
@@ -17,3 +23,48 @@ def test_documents_of_short_lines_outlive_a_repeated_header(spark):
     texts = [HEADER, f"{HEADER}\n{verse}", f"{HEADER}\n{sentences}", f"{HEADER}\n{scraps}", f"{HEADER}\n{nothing}", HEADER, None, ""]
     out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, rows(spark, texts), "").collect()}
     assert out == {0: (HEADER, len(HEADER)), 1: (verse, len(verse)), 2: (sentences, len(sentences)), 6: (None, None), 7: ("", 0)}
+
+
+def shingle_set(text):
+    w = text.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b)
+
+
+def changed(rng, words, n):
+    out = list(words)
+    for k in rng.sample(range(10, len(words) - 10, 6), n):
+        out[k] = f"new{rng.randrange(10**9)}"
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1 << 17, 600])
+def test_near_stage_acts_at_shingle_similarity(spark, monkeypatch, chunk):
+    """Recall at 0.8 and more, and no false link, against exact similarities; many pairs are just below."""
+    monkeypatch.setattr(simhash, "CHUNK_SHINGLES", chunk)
+    rng = random.Random(12)
+    texts = []
+    for k in range(120):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join(changed(rng, words, 3 + k % 9))]
+    hub = [f"h{k}" for k in range(300)]
+    texts += [" ".join(changed(rng, hub, 3)) for _ in range(30)]
+    sets = [shingle_set(t) for t in texts]
+    label = slow_components(len(texts), lambda a, b: similarity(sets[a], sets[b]) >= 0.8)
+    want = {k for k, x in enumerate(label) if x == k}
+    got = {r.doc_id for r in corpus_pipeline.near(spark, rows(spark, texts), "").collect()}
+    linked = len(texts) - len(want)
+    assert want <= got  # what has no partner at 0.8 stays
+    assert len(got - want) <= 0.03 * linked and 240 - 120 < len(want) - 1 < 240
+
+
+def test_near_stage_of_odd_rows(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    odd = [(1, "first of its kind here"), (1, text), (1, text), (0, text.upper()), (2, None), (3, " "), (None, text), (None, text), (4, "alone"), (4, "quite another")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in odd], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, odd[0][1]), (0, text.upper()), (2, None), (None, text), (None, text), (4, "alone"), (4, "quite another")], key=str)
+    assert corpus_pipeline.near(spark, docs.limit(0), "").collect() == []
