@@ -25,18 +25,21 @@ SCHEME = "media:"
 #: Payloads are images of this width, 8 bits a sample.
 WIDTH = 64
 _MEDIA = ("img", "audio", "video", "source", "embed")
-_SILENT = ("script", "style", "template", "noscript", "head")
+_SILENT = ("script", "style", "template", "noscript")
+#: What can stand in a head; any other element or text ends it, since its end tag may be left out.
+_HEAD = (*_SILENT, "head", "title", "meta", "link", "base")
 _BREAKS = ("p", "div", "br", "li", "ul", "ol", "tr", "td", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "figure", "blockquote", "pre", "hr", "title", "body")
 
 
 class _Sequence(HTMLParser):
-    """Collects items; a figure's caption goes to the media in it that has none of its own."""
+    """Collects items; a figure's caption goes to the media in it that has none of its own, else it is text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
         self.silent = 0
+        self.head = self.title = False
         self.figures: list[list[dict]] = []
         self.caption: list[str] | None = None
 
@@ -47,6 +50,11 @@ class _Sequence(HTMLParser):
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
 
     def handle_starttag(self, tag, attrs):
+        if tag == "head":
+            self.head = True
+        elif tag not in _HEAD and not self.silent:
+            self.head = False
+        self.title = tag == "title"
         if tag in _SILENT:
             self.silent += 1
         elif tag == "figcaption":
@@ -65,6 +73,9 @@ class _Sequence(HTMLParser):
                     figure.append(item)
 
     def handle_endtag(self, tag):
+        if tag == "head":
+            self.head = False
+        self.title = self.title and tag != "title"
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
         elif tag == "figcaption" and self.caption is not None:
@@ -73,7 +84,7 @@ class _Sequence(HTMLParser):
             if open_:
                 for item in open_:
                     item["caption"] = text or None
-            elif not (self.figures and self.figures[-1]):
+            else:
                 self.words.append(f" {text} ")
             self.caption = None
         elif tag in _BREAKS:
@@ -82,7 +93,9 @@ class _Sequence(HTMLParser):
                 self.figures.pop()
 
     def handle_data(self, data):
-        if not self.silent:
+        if not self.silent and not self.title and data.strip():
+            self.head = False
+        if not self.silent and not self.head:
             (self.words if self.caption is None else self.caption).append(data)
 
 
