@@ -1,9 +1,11 @@
 """Databases and tables as versioned parquet files.
 
 A table is a folder. ``_manifest/<n>.json`` says what version n holds: the columns, the data files, the files of
-deleted rows, the next row id. A statement writes new files and then creates the next manifest; creating an
-existing one fails, so of two writers one wins and the other gets an error, and readers see whole versions. Files
-are reached through Hadoop's file systems, so the warehouse can be any store that Spark reads.
+deleted rows, the next row id. A statement writes new files and then puts the next manifest in place: it is written
+aside and renamed (on local disks linked) without overwriting, so readers see whole versions, and of two writers one
+wins and the other gets an error. That holds on local disks, HDFS and stores with an atomic rename; on plain object
+stores, where a rename is a copy, only one writer at a time is safe. Files are reached through Hadoop's file systems,
+so the warehouse can be any store that Spark reads. ``vacuum`` removes what old versions alone need.
 
 Every row has an id, ``_rid``, that is never used again. Changes copy only the files that hold changed rows.
 """
@@ -20,11 +22,14 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..errors import AlreadyExists, CorruptManifest, DatabaseNotFound, EngineError, InvalidSchema, RecordNotFound, TableNotFound
 from .tables import schema_of
 
 RID = "_rid"
+#: Holds the entries of indexes; not listed.
+INDEXES = "lodestone_indexes"
 _TABLE = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _DATABASE = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
 #: Appends beyond this many small files are merged by the next one.
@@ -35,7 +40,7 @@ class Files:
     """A file system by URI, on the driver."""
 
     def __init__(self, spark: SparkSession):
-        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.spark, self.jvm, self.conf = spark, spark._jvm, spark._jsc.hadoopConfiguration()
 
     def _at(self, path: str):
         p = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -54,8 +59,18 @@ class Files:
         fs.delete(p, True)
 
     def names(self, path: str) -> list[str]:
+        """What a folder holds, without what is being written aside."""
         fs, p = self._at(path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        found = (s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else ()
+        return sorted(n for n in found if not n.startswith("."))
+
+    def older(self, path: str, seconds: float) -> bool:
+        fs, p = self._at(path)
+        return fs.getFileStatus(p).getModificationTime() / 1000 < time.time() - seconds
+
+    def size(self, paths: list[str]) -> int:
+        """Bytes of files."""
+        return sum(fs.getFileStatus(p).getLen() for fs, p in map(self._at, paths))
 
     def uris(self, path: str, ending: str) -> list[str]:
         fs, p = self._at(path)
@@ -69,19 +84,35 @@ class Files:
         finally:
             stream.close()
 
-    def create(self, path: str, text: str) -> bool:
-        """Writes a new file; False if there is one already."""
+    def _write(self, path: str, text: str) -> None:
         fs, p = self._at(path)
+        stream = fs.create(p, True)
         try:
-            stream = fs.create(p, False)
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def create(self, path: str, text: str, replace: bool = False) -> bool:
+        """Puts a whole new file in place; False if there is one already, unless it is to be replaced."""
+        folder, _, name = path.rpartition("/")
+        aside = f"{folder}/.{name}-{uuid.uuid4().hex}"
+        self._write(aside, text)
+        fs, p = self._at(path)
+        hadoop, nio = self.jvm.org.apache.hadoop.fs, self.jvm.java.nio.file
+        try:
+            if fs.getScheme() == "file" and not replace:  # a link fails if the name is taken; a local rename doesn't
+                nio.Files.createLink(nio.Path.of(fs.makeQualified(p).toUri()), nio.Path.of(fs.makeQualified(hadoop.Path(aside)).toUri()))
+            else:
+                rename = getattr(hadoop, "Options$Rename")
+                how = self.spark._sc._gateway.new_array(rename, 1)
+                how[0] = rename.OVERWRITE if replace else rename.NONE
+                hadoop.FileContext.getFileContext(fs.makeQualified(p).toUri(), self.conf).rename(hadoop.Path(aside), p, how)
         except Exception as e:
-            if fs.exists(p):
+            if fs.exists(p) and not replace:
                 return False
             raise EngineError(f"can't write {path}") from e
-        try:
-            stream.write(bytearray(text.encode()))
         finally:
-            stream.close()
+            self.remove(aside)
         return True
 
 
@@ -146,7 +177,7 @@ class Store:
         self.fs.remove(f"{self.root}/{name}")
 
     def databases(self) -> list[str]:
-        return [n for n in self.fs.names(self.root) if self.has_database(n)]
+        return [n for n in self.fs.names(self.root) if n != INDEXES and self.has_database(n)]
 
     # tables
 
@@ -193,13 +224,33 @@ class StoredTable:
     def __init__(self, store: Store, path: str):
         self.store, self.spark, self.fs, self.path = store, store.spark, store.fs, path
 
+    def _versions(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in self.fs.names(f"{self.path}/_manifest") if n.endswith(".json"))
+
+    def _at(self, version: int) -> str:
+        return f"{self.path}/_manifest/{version:010d}.json"
+
+    def _latest(self) -> int:
+        """The newest version: on from a hint, so that long histories needn't be listed."""
+        hint = f"{self.path}/_latest"
+        try:
+            now = int(self.fs.read(hint)) if self.fs.exists(hint) else None
+        except ValueError:
+            now = None
+        if now is None or not self.fs.exists(self._at(now)):
+            found = self._versions()
+            if not found:
+                raise CorruptManifest(f"{self.path} has no manifest")
+            now = found[-1]
+        while self.fs.exists(self._at(now + 1)):
+            now += 1
+        return now
+
     def manifest(self, version: int | None = None) -> Manifest:
-        names = [n for n in self.fs.names(f"{self.path}/_manifest") if n.endswith(".json")]
-        if version is not None:
-            names = [n for n in names if int(n[:-5]) == version]
-        if not names:
-            raise CorruptManifest(f"{self.path} has no manifest" + (f" {version}" if version is not None else ""))
-        return _manifest(self.fs.read(f"{self.path}/_manifest/{names[-1]}"))
+        at = self._at(self._latest() if version is None else version)
+        if version is not None and not self.fs.exists(at):
+            raise CorruptManifest(f"{self.path} has no manifest {version}")
+        return _manifest(self.fs.read(at))
 
     def _read(self, m: Manifest, files: list[str]) -> DataFrame:
         return self.spark.read.schema(m.stored).parquet(*files) if files else self.spark.createDataFrame([], m.stored)
@@ -211,8 +262,9 @@ class StoredTable:
 
     def _commit(self, before: Manifest, **changes: Any) -> Manifest:
         after = replace(before, version=before.version + 1, changed_at=time.time(), **changes)
-        if not self.fs.create(f"{self.path}/_manifest/{after.version:010d}.json", json.dumps(asdict(after))):
+        if not self.fs.create(self._at(after.version), json.dumps(asdict(after))):
             raise EngineError(f"{before.table} was changed by someone else")
+        self.fs.create(f"{self.path}/_latest", str(after.version), replace=True)
         return after
 
     # reading
@@ -281,16 +333,14 @@ class StoredTable:
         folder = f"{self.path}/staged-{uuid.uuid4().hex}"
         numbered.write.parquet(folder)
         staged = self.spark.read.schema(numbered.schema).parquet(folder)
-        sizes = staged.groupBy("_part").agg((F.max("_n") + 1).alias("n")).orderBy("_part").collect()  # a row a partition
-        starts, total = {}, m.next_rid
-        for part, n in sizes:
-            starts[part] = total
-            total += n
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+        sizes = staged.groupBy("_part").agg((F.max("_n") + 1).alias("_size"))
+        starts = sizes.select("_part", (F.coalesce(F.sum("_size").over(before), F.lit(0)) + m.next_rid).alias("_start"))
+        total = m.next_rid + (sizes.agg(F.sum("_size")).first()[0] or 0)
         if total == m.next_rid:
             self.fs.remove(folder)
             return 0
-        base = F.create_map(*(F.lit(x) for pair in starts.items() for x in pair))
-        files = self._write(staged.select((base[F.col("_part")].cast("long") + F.col("_n")).alias(RID), *m.schema.names))
+        files = self._write(staged.join(F.broadcast(starts), "_part").select((F.col("_start") + F.col("_n")).alias(RID), *m.schema.names))
         self.fs.remove(folder)
         self._commit(m, files=m.files + files, next_rid=total, row_count=m.row_count + total - m.next_rid)
         if len(m.files) >= MERGE_AT:
@@ -343,6 +393,20 @@ class StoredTable:
             self._commit(m, files=[f for f in m.files if f not in touched] + kept, deleted=m.deleted + gone, row_count=m.row_count - n)
         return n
 
+    def insert_with_place(self, values: tuple[Any, ...]) -> tuple[int, str, int]:
+        """Adds one row and returns its id and place. A place holds until the next change of its file."""
+        rid = self.insert(values)
+        return rid, *self.place_of(rid)
+
+    def update_at(self, file: str, position: int, values: tuple[Any, ...]) -> tuple[str, int]:
+        """Changes the row at a place; returns its new place."""
+        rid = self.at(file, position)[RID]
+        self.update_record(rid, values)
+        return self.place_of(rid)
+
+    def delete_at(self, file: str, position: int) -> None:
+        self.delete_record(self.at(file, position)[RID])
+
     def update_record(self, rid: int, values: tuple[Any, ...]) -> None:
         self.need_record(rid)
         m = self.manifest()
@@ -351,3 +415,34 @@ class StoredTable:
     def delete_record(self, rid: int) -> None:
         self.need_record(rid)
         self.delete(F.col(RID) == rid)
+
+    # upkeep
+
+    def statistics(self) -> dict[str, Any]:
+        """What the manifest and the files tell, without reading rows."""
+        m = self.manifest()
+        return {"table": m.table, "table_id": m.table_id, "version": m.version, "row_count": m.row_count, "deleted_count": m.next_rid - m.row_count, "next_rid": m.next_rid, "files": len(m.files), "bytes": self.fs.size(m.files), "changed_at": m.changed_at}
+
+    def vacuum(self, keep: int = 10, older_than: float = 86_400.0) -> int:
+        """Removes all but the newest ``keep`` versions, and data files that none of those names; returns how many files.
+
+        Files younger than ``older_than`` seconds stay, since a writer may be about to name them.
+        """
+        versions = self._versions()
+        gone, kept = versions[:-keep], versions[-keep:]
+        named = {f.rsplit("/", 1)[1] for v in kept for m in [self.manifest(v)] for f in (*m.files, *m.deleted)}
+        for v in gone:
+            self.fs.remove(self._at(v))
+        removed = 0
+        for folder in (n for n in self.fs.names(self.path) if n.startswith(("data-", "staged-"))):
+            at = f"{self.path}/{folder}"
+            left = 0
+            for name in (n for n in self.fs.names(at) if n.endswith(".parquet")):
+                if name in named or not self.fs.older(f"{at}/{name}", older_than):
+                    left += 1
+                else:
+                    self.fs.remove(f"{at}/{name}")
+                    removed += 1
+            if not left and self.fs.older(at, older_than):
+                self.fs.remove(at)
+        return removed

@@ -5,60 +5,114 @@ from lodestone import errors as e
 from lodestone.operators.indexes import IndexKind
 
 
+COLUMNS = "serial LONG, goods STRING, weight DOUBLE, slots INT, sealed BOOLEAN"
+#: Crates by a rule; row k has the row id k.
+CRATES = [(500 + 11 * k, f"{('Öl', 'tea', 'salt')[k % 3]} #{k // 3}", k * 1.25, (k * k) % 7, k % 2 == 0) for k in range(6)]
+
+
+def literal(v):
+    return str(v).upper() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else str(v)
+
+
+def add(engine, *values):
+    return engine.execute(f"INSERT INTO crates (serial, goods, weight, slots, sealed) VALUES ({', '.join(map(literal, values))})")
+
+
 @pytest.fixture
 def engine(spark, tmp_path):
     out = Engine(spark, f"file://{tmp_path}/warehouse")
-    for sql in ("CREATE DATABASE shop", "USE shop", "CREATE TABLE users (id INT, name STRING, age INT, city STRING, active BOOLEAN, role STRING)"):
+    for sql in ("CREATE DATABASE port", "USE port", f"CREATE TABLE crates ({COLUMNS})"):
         out.execute(sql)
-    for r in ("1, 'Deniz', 21, 'Malatya', TRUE, 'user'", "2, 'Ali', 17, 'Ankara', TRUE, 'user'", "3, 'Ayşe', 27, 'Malatya', FALSE, 'admin'", "4, 'Can', 30, 'Istanbul', TRUE, 'banned'"):
-        out.execute(f"INSERT INTO users (id, name, age, city, active, role) VALUES ({r})")
+    for r in CRATES:
+        assert add(out, *r).affected_rows == 1
     return out
 
 
-def ids(engine, where="id > 0"):
-    return sorted(r[0] for r in engine.sql(f"SELECT id FROM users WHERE {where}").collect())
+def crates(engine, where="serial > 0"):
+    return sorted(tuple(r) for r in engine.sql(f"SELECT * FROM crates WHERE {where}").collect())
 
 
 def test_changes_persist(engine, spark):
-    assert engine.execute("UPDATE users SET role = 'adult', age = 99 WHERE age >= 21 AND NOT role = 'banned'").affected_rows == 2
-    assert engine.execute("DELETE FROM users WHERE city LIKE 'A%' OR users.role IN ('banned')").affected_rows == 2
+    grow = lambda r: r[3] >= 2 and not r[1].startswith("tea")
+    want = [(s, g, 77.5, 6, z) if grow((s, g, w, n, z)) else (s, g, w, n, z) for s, g, w, n, z in CRATES]
+    assert engine.execute("UPDATE crates SET weight = 77.5, slots = 6 WHERE slots >= 2 AND NOT goods LIKE 'tea%'").affected_rows == sum(map(grow, CRATES))
+    drop = lambda r: r[1].startswith("Öl") or r[3] in (1,)
+    assert engine.execute("DELETE FROM crates WHERE goods LIKE 'Ö%' OR crates.slots IN (1)").affected_rows == sum(map(drop, want))
+    want = [r for r in want if not drop(r)]
     again = Engine(spark, engine.store.root)
-    again.execute("USE DATABASE shop")
-    assert sorted(tuple(r) for r in again.sql("SELECT id, role, age FROM users").collect()) == [(1, "adult", 99), (3, "adult", 99)]
-    assert again.execute("DELETE FROM users").affected_rows == 2
-    assert ids(again) == []
-    again.execute("INSERT INTO users (role, active, city, age, name, id) VALUES ('new', FALSE, 'X', 1, 'O''Brien', 9)")
-    assert ids(again, "name = 'O''Brien'") == [9]
-    assert again.stored("users").rows(with_rid=True).collect()[0]._rid == 4  # ids aren't used again
+    again.execute("USE DATABASE port")
+    assert crates(again) == sorted(want)
+    assert again.execute("DELETE FROM crates").affected_rows == len(want)
+    assert crates(again) == []
+    again.execute("INSERT INTO crates (sealed, slots, goods, serial, weight) VALUES (FALSE, 3, 'd''Or', 7, 2.5)")
+    assert crates(again, "goods = 'd''Or'") == [(7, "d'Or", 2.5, 3, False)]
+    assert again.stored("crates").rows(with_rid=True).collect()[0]._rid == len(CRATES)  # ids aren't used again
 
 
 def test_nothing_matches(engine):
-    before = engine.stored("users").manifest().version
-    assert engine.execute("UPDATE users SET age = 1 WHERE id = 77").affected_rows == 0
-    assert engine.execute("DELETE FROM users WHERE id = 77").affected_rows == 0
-    assert engine.stored("users").manifest().version == before
+    before = engine.stored("crates").manifest().version
+    assert engine.execute("UPDATE crates SET slots = 1 WHERE serial = 1").affected_rows == 0
+    assert engine.execute("DELETE FROM crates WHERE serial = 1").affected_rows == 0
+    assert engine.stored("crates").manifest().version == before
 
 
 def test_only_touched_files_are_rewritten(engine):
-    before = set(engine.stored("users").manifest().files)
-    engine.execute("UPDATE users SET age = 22 WHERE id = 1")
-    assert len(before & set(engine.stored("users").manifest().files)) == 3
+    before = set(engine.stored("crates").manifest().files)
+    engine.execute(f"UPDATE crates SET slots = 9 WHERE serial = {CRATES[2][0]}")
+    assert len(before & set(engine.stored("crates").manifest().files)) == len(CRATES) - 1
 
 
 def test_records(engine):
-    users = engine.stored("users")
-    users.delete_record(1)
-    users.update_record(0, (1, "Y", 5, "M", False, "x"))
-    assert users.active_count() == 3 and users.total_count() == 4
-    assert users.contains(1) and not users.is_active(1) and not users.contains(9)
-    assert {(r._rid, r._deleted) for r in users.all_rows().collect()} == {(0, False), (1, True), (2, False), (3, False)}
-    assert users.need_record(0).name == "Y"
-    place = users.place_of(2)
-    assert users.at(*place).name == "Ayşe"
-    for bad in (lambda: users.need_record(1), lambda: users.delete_record(1), lambda: users.place_of(1), lambda: users.at("nowhere", 0)):
+    table = engine.stored("crates")
+    table.delete_record(1)
+    table.update_record(0, (1, "moved", 0.5, 4, False))
+    assert table.active_count() == len(CRATES) - 1 and table.total_count() == len(CRATES)
+    assert table.contains(1) and not table.is_active(1) and not table.contains(99)
+    assert {(r._rid, r._deleted) for r in table.all_rows().collect()} == {(k, k == 1) for k in range(len(CRATES))}
+    assert table.need_record(0).goods == "moved"
+    place = table.place_of(2)
+    assert table.at(*place).goods == CRATES[2][1]
+    for bad in (lambda: table.need_record(1), lambda: table.delete_record(1), lambda: table.place_of(1), lambda: table.at("nowhere", 0)):
         with pytest.raises(e.RecordNotFound):
             bad()
-    assert users.rows(version=4).count() == 4  # as it was
+    assert table.rows(version=len(CRATES)).count() == len(CRATES)  # as it was
+
+
+def test_changes_by_place(engine):
+    table = engine.stored("crates")
+    rid, file, position = table.insert_with_place((9, "new", 1.0, 1, True))
+    assert rid == len(CRATES) and table.at(file, position).goods == "new"
+    moved = table.update_at(file, position, (9, "changed", 1.0, 1, True))
+    assert table.at(*moved).goods == "changed" and table.need_record(rid).goods == "changed"
+    table.delete_at(*moved)
+    assert not table.is_active(rid) and table.contains(rid)
+    with pytest.raises(e.RecordNotFound):
+        table.delete_at(*moved)
+
+
+def test_statistics_and_vacuum(engine):
+    table = engine.stored("crates")
+    engine.execute("UPDATE crates SET slots = 0")
+    engine.execute("DELETE FROM crates WHERE sealed = TRUE")
+    before, stats = crates(engine), table.statistics()
+    assert (stats["row_count"], stats["deleted_count"], stats["version"]) == (3, 3, len(CRATES) + 2) and stats["bytes"] > 0
+    assert table.vacuum(keep=1) == 0  # all files are young
+    with pytest.raises(e.CorruptManifest):
+        table.rows(version=1)
+    engine.execute("UPDATE crates SET slots = 5")
+    assert table.vacuum(keep=1, older_than=-60) > 0
+    assert crates(engine) == [(*r[:3], 5, r[4]) for r in before] and table.all_rows().count() == len(CRATES)
+
+
+def test_lost_or_stale_hint(engine):
+    """The newest version is found without the hint, and behind an old one."""
+    table = engine.stored("crates")
+    now = table.manifest().version
+    for text in ("0", "nonsense", "999"):
+        table.fs.create(f"{table.path}/_latest", text, replace=True)
+        assert table.manifest().version == now
+    table.fs.remove(f"{table.path}/_latest")
+    assert table.manifest().version == now
 
 
 def test_append_frames(engine, spark):
@@ -75,37 +129,38 @@ def test_append_frames(engine, spark):
 
 def test_all_types(engine):
     engine.execute("CREATE TABLE kinds (a INTEGER, b BIGINT, c REAL, d BOOL, e VARCHAR)")
-    engine.execute("INSERT INTO kinds (a, b, c, d, e) VALUES (42, 9000000000, 95.75, TRUE, 'Şehir Kütüphanesi')")
+    engine.execute("INSERT INTO kinds (a, b, c, d, e) VALUES (-17, 123456789012, 0.375, TRUE, 'Größe ≥ 3 𝄞')")
     engine.execute("INSERT INTO kinds (a, b, c, d, e) VALUES (1, 2, 3, FALSE, '')")  # widened
-    assert {tuple(r) for r in engine.sql("SELECT * FROM kinds").collect()} == {(42, 9000000000, 95.75, True, "Şehir Kütüphanesi"), (1, 2, 3.0, False, "")}
+    assert {tuple(r) for r in engine.sql("SELECT * FROM kinds").collect()} == {(-17, 123456789012, 0.375, True, "Größe ≥ 3 𝄞"), (1, 2, 3.0, False, "")}
     assert engine.sql("SELECT * FROM kinds").dtypes == [("a", "int"), ("b", "bigint"), ("c", "double"), ("d", "boolean"), ("e", "string")]
 
 
 @pytest.mark.parametrize(
     "sql,error",
     [
-        ("INSERT INTO users (id, name) VALUES (1, 'x')", e.InsertError),
-        ("INSERT INTO users (id, name) VALUES (1)", e.InsertError),
-        ("INSERT INTO users (id, id, age, city, active, role) VALUES (1, 2, 3, 'c', TRUE, 'r')", e.InsertError),
-        ("INSERT INTO users (id, nick, age, city, active, role) VALUES (1, 'n', 3, 'c', TRUE, 'r')", e.InsertError),
-        ("INSERT INTO users (id, name, age, city, active, role) VALUES ('1', 'n', 3, 'c', TRUE, 'r')", e.InsertError),
-        ("INSERT INTO users (id, name, age, city, active, role) VALUES (1, NULL, 3, 'c', TRUE, 'r')", e.InsertError),
-        ("INSERT INTO users (id, name, age, city, active, role) VALUES (9000000000, 'n', 3, 'c', TRUE, 'r')", e.InsertError),
-        ("INSERT INTO users (id, name, age, city, active, role) VALUES (1.5, 'n', 3, 'c', TRUE, 'r')", e.InsertError),
-        ("UPDATE users SET age = 'old'", e.UpdateError),
-        ("UPDATE users SET age = NULL", e.UpdateError),
-        ("UPDATE users SET nick = 'x'", e.UnknownColumn),
-        ("DELETE FROM users WHERE nick = 'x'", e.UnknownColumn),
-        ("DELETE FROM users WHERE other.id = 1", e.UnknownColumn),
-        ("DELETE FROM nowhere", e.TableNotFound),
-        ("CREATE TABLE users (id INT)", e.AlreadyExists),
-        ("CREATE TABLE t (id INT, ID INT)", e.DuplicateColumn),
-        ("CREATE TABLE t (id BLOB)", e.InvalidSchema),
-        ("CREATE DATABASE shop", e.AlreadyExists),
+        ("INSERT INTO crates (serial, goods) VALUES (1, 'x')", e.InsertError),
+        ("INSERT INTO crates (serial, goods) VALUES (1)", e.InsertError),
+        ("INSERT INTO crates (serial, serial, weight, slots, sealed) VALUES (1, 2, 3, 4, TRUE)", e.InsertError),
+        ("INSERT INTO crates (serial, colour, weight, slots, sealed) VALUES (1, 'n', 3, 4, TRUE)", e.InsertError),
+        ("INSERT INTO crates (serial, goods, weight, slots, sealed) VALUES ('1', 'n', 3, 4, TRUE)", e.InsertError),
+        ("INSERT INTO crates (serial, goods, weight, slots, sealed) VALUES (1, NULL, 3, 4, TRUE)", e.InsertError),
+        ("INSERT INTO crates (serial, goods, weight, slots, sealed) VALUES (1, 'n', 3, 9000000000, TRUE)", e.InsertError),
+        ("INSERT INTO crates (serial, goods, weight, slots, sealed) VALUES (1.5, 'n', 3, 4, TRUE)", e.InsertError),
+        ("UPDATE crates SET slots = 'many'", e.UpdateError),
+        ("UPDATE crates SET slots = NULL", e.UpdateError),
+        ("UPDATE crates SET slots = 1, slots = 2", e.ParseError),
+        ("UPDATE crates SET colour = 'x'", e.UnknownColumn),
+        ("DELETE FROM crates WHERE colour = 'x'", e.UnknownColumn),
+        ("DELETE FROM crates WHERE other.serial = 1", e.UnknownColumn),
+        ("DELETE FROM quays", e.TableNotFound),
+        ("CREATE TABLE crates (serial INT)", e.AlreadyExists),
+        ("CREATE TABLE t (serial INT, SERIAL INT)", e.DuplicateColumn),
+        ("CREATE TABLE t (serial BLOB)", e.InvalidSchema),
+        ("CREATE DATABASE port", e.AlreadyExists),
         ("CREATE DATABASE _x", e.InvalidSchema),
-        ("USE nowhere", e.DatabaseNotFound),
-        ("DROP DATABASE nowhere", e.DatabaseNotFound),
-        ("DROP TABLE nowhere", e.TableNotFound),
+        ("USE harbour", e.DatabaseNotFound),
+        ("DROP DATABASE harbour", e.DatabaseNotFound),
+        ("DROP TABLE quays", e.TableNotFound),
     ],
 )
 def test_errors(engine, sql, error):
@@ -114,54 +169,97 @@ def test_errors(engine, sql, error):
 
 
 def test_drop_and_recreate(engine):
-    engine.execute("DROP TABLE users")
-    engine.execute("CREATE TABLE users (id INT)")
-    assert engine.sql("SELECT * FROM users").collect() == []
-    assert engine.store.tables("shop") == ["users"] and engine.store.databases() == ["shop"]
-    engine.execute("DROP DATABASE shop")
-    assert engine.database is None and engine.store.databases() == []
+    engine.indexes.create("by_goods", "port", "crates", "goods")
+    engine.execute("DROP TABLE crates")
+    assert engine.indexes.known == {}
+    engine.execute("CREATE TABLE crates (serial INT)")
+    assert engine.sql("SELECT * FROM crates").collect() == []
+    assert engine.store.tables("port") == ["crates"] and engine.store.databases() == ["port"]
+    engine.indexes.create("by_serial", "port", "crates", "serial")
+    engine.execute("DROP DATABASE port")
+    assert engine.database is None and engine.store.databases() == [] and engine.indexes.known == {}
     with pytest.raises(e.NoDatabaseSelected):
-        engine.execute("DELETE FROM users")
+        engine.execute("DELETE FROM crates")
 
 
 def test_one_of_two_writers_wins(engine):
-    users = engine.stored("users")
-    before = users.manifest()
-    users._commit(before)
+    table = engine.stored("crates")
+    before = table.manifest()
+    table._commit(before)
     with pytest.raises(e.EngineError):
-        users._commit(before)
+        table._commit(before)
+
+
+def test_many_writers_put_one_manifest(engine):
+    from concurrent.futures import ThreadPoolExecutor
+
+    table = engine.stored("crates")
+    at = table._at(table.manifest().version + 1)
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: table.fs.create(at, "x" * 10_000 + str(k)), range(24)))
+    assert sum(won) == 1 and table.fs.read(at) == "x" * 10_000 + str(won.index(True))
 
 
 def test_damaged_manifest(engine):
-    users = engine.stored("users")
-    n = users.manifest().version + 1
-    users.fs.create(f"{users.path}/_manifest/{n:010d}.json", '{"table": 1}')
+    table = engine.stored("crates")
+    table.fs.create(table._at(table.manifest().version + 1), '{"table": 1}')
     with pytest.raises(e.CorruptManifest):
-        users.rows()
+        table.rows()
 
 
 def test_indexes(engine):
     ix = engine.indexes
-    ix.create("by_city", "shop", "users", "city")
-    ix.create("by_id", "shop", "users", "id", IndexKind.PRIMARY)
-    assert sorted(r.rid for r in ix.search("by_city", "Malatya").collect()) == [0, 2]
-    assert sorted(r.name for r in ix.resolve("by_city", "Malatya").collect()) == ["Ayşe", "Deniz"]
-    assert [r.key for r in ix.entries("by_id").collect()] == [1, 2, 3, 4]
+    ix.create("by_slots", "port", "crates", "slots")
+    ix.create("by_serial", "port", "crates", "serial", IndexKind.PRIMARY)
+    two = [k for k, r in enumerate(CRATES) if r[3] == 2]
+    assert len(two) > 1 and sorted(r.rid for r in ix.search("by_slots", 2).collect()) == two
+    assert sorted(tuple(r) for r in ix.resolve("by_slots", 2).collect()) == [CRATES[k] for k in two]
+    assert [(r.key, r.rid) for r in ix.entries("by_serial").collect()] == [(r[0], k) for k, r in enumerate(CRATES)]
     later = Engine(engine.spark, engine.store.root).indexes
-    assert later.get("BY_ID").kind is IndexKind.PRIMARY and [r.rid for r in later.search("by_id", 3).collect()] == [2]
-    ix.insert("by_id", 5, 77)
-    ix.update("by_id", 5, 6, 77)
-    assert ix.delete("by_id", 6) == 1 and ix.search("by_id", 6).count() == 0
-    assert len(ix.of_table("shop", "users")) == 2 and len(ix.of_column("shop", "users", "CITY")) == 1
-    for bad in (lambda: ix.create("by_id", "shop", "users", "id"), lambda: ix.create("u", "shop", "users", "city", IndexKind.UNIQUE), lambda: ix.insert("by_id", 1, 9), lambda: ix.search("nope", 1), lambda: ix.update("by_id", 40, 41, 1), lambda: ix.drop("nope"), lambda: ix.insert("by_id", None, 1)):
+    assert later.get("BY_SERIAL").kind is IndexKind.PRIMARY and [r.rid for r in later.search("by_serial", CRATES[3][0]).collect()] == [3]
+    ix.insert("by_serial", 5, 77)
+    ix.update("by_serial", 5, 6, 77)
+    assert ix.resolve("by_serial", 6).collect() == [] and ix.delete("by_serial", 6) == 1 and ix.search("by_serial", 6).count() == 0
+    assert len(ix.of_table("port", "crates")) == 2 and len(ix.of_column("port", "crates", "SLOTS")) == 1
+    taken = CRATES[0][0]
+    for bad in (lambda: ix.create("by_serial", "port", "crates", "serial"), lambda: ix.create("u", "port", "crates", "slots", IndexKind.UNIQUE), lambda: ix.insert("by_serial", taken, 9), lambda: ix.search("none", 1), lambda: ix.update("by_serial", 40, 41, 1), lambda: ix.drop("none"), lambda: ix.insert("by_serial", None, 1)):
         with pytest.raises(e.IndexError_):
             bad()
     with pytest.raises(e.UnknownColumn):
-        ix.create("x", "shop", "users", "nick")
-    assert ix.drop_of_table("shop", "users") == 2 and ix.known == {}
+        ix.create("x", "port", "crates", "colour")
+    assert ix.drop_of_table("port", "crates") == 2 and ix.known == {}
     assert Engine(engine.spark, engine.store.root).indexes.known == {}
 
 
+@pytest.mark.parametrize("few", [1000, 0])
+def test_indexes_follow_changes(engine, monkeypatch, few):
+    from lodestone.operators import indexes
+
+    monkeypatch.setattr(indexes, "FEW", few)
+    ix = engine.indexes
+    ix.create("by_slots", "port", "crates", "slots")
+    ix.create("by_serial", "port", "crates", "serial", IndexKind.UNIQUE)
+    check = lambda: [sorted(map(tuple, ix.resolve("by_slots", k).collect())) == crates(engine, f"slots = {k}") for k in range(9)]
+    engine.execute(f"UPDATE crates SET slots = 8 WHERE serial = {CRATES[1][0]}")
+    assert all(check()) and ix.resolve("by_slots", 8).count() == 1
+    add(engine, 3, "late", 1.0, 8, True)
+    engine.execute("DELETE FROM crates WHERE slots = 2")
+    assert all(check()) and ix.search("by_slots", 2).count() == 0 and ix.search("by_slots", 8).count() == 2
+    engine.execute("UPDATE crates SET slots = 1")
+    engine.stored("crates").merge()
+    assert all(check()) and ix.entries("by_slots").count() == engine.stored("crates").active_count()
+    engine.execute("UPDATE crates SET serial = 4 WHERE sealed = TRUE")
+    with pytest.raises(e.IndexError_):
+        ix.search("by_serial", 4)
+
+
+def test_an_index_reads_the_files_of_its_entries_only(engine):
+    ix = engine.indexes
+    ix.create("by_serial", "port", "crates", "serial")
+    plan = ix.resolve("by_serial", CRATES[2][0])
+    assert len(plan.inputFiles()) == 1 and [tuple(r) for r in plan.collect()] == [CRATES[2]]
+
+
 def test_stream(engine, spark, tmp_path):
     from lodestone.streaming import start, streaming_select
 
