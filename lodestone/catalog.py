@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import EngineError
 from .operators.indexes import IndexKind
 from .plans.parser import parse
 from .session import Engine
@@ -265,6 +266,219 @@ CHANGES: dict[str, tuple[Query, str]] = {
 }
 
 
+# ---- sources, records, the catalog, indexes and refusals
+
+_ENGINE_ROWS = [(k, f"row {k * k % 10}", k / 4, k % 3 == 0) for k in range(40)]
+
+
+def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.tables.register_rows("made", [("k", "INT"), ("name", "STRING"), ("x", "DOUBLE"), ("third", "BOOLEAN")], _ENGINE_ROWS)
+    return engine.sql("SELECT name, COUNT(*) AS n, SUM(x) AS s FROM made WHERE third = FALSE GROUP BY name")
+
+
+def _callback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.tables.register_source(lambda name: spark.read.parquet(f"{sf_dir}/supplier.parquet") if name.lower() == "makers" else None)
+    return engine.sql("SELECT m.s_suppkey, m.s_name FROM makers m WHERE m.s_acctbal > 5000")
+
+
+def _rid(engine: Engine, key: int) -> int:
+    """The row id of a nation."""
+    return engine.stored("nations").rows(with_rid=True).where(F.col("n_nationkey") == key).first()["_rid"]
+
+
+def _by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _nations(spark, sf_dir)
+    return engine.stored("nations").record(_rid(engine, 7)).drop("_rid")
+
+
+def _by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _nations(spark, sf_dir)
+    nations = engine.stored("nations")
+    file, position = nations.place_of(_rid(engine, 13))
+    return nations.located().where((F.col("_file") == file) & (F.col("_position") == position)).select("n_nationkey", "n_name", "n_regionkey")
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _nations(spark, sf_dir)
+    gone, nations = _rid(engine, 4), engine.stored("nations")
+    nations.delete_record(gone)
+    row = (nations.active_count(), nations.total_count(), nations.contains(gone), nations.is_active(gone), nations.contains(10**9))
+    return spark.createDataFrame([row], "active long, total long, known boolean, alive boolean, stranger boolean")
+
+
+def _places_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _nations(spark, sf_dir)
+    nations = engine.stored("nations")
+    _, file, position = nations.insert_with_place((70, "CAPE", 3))
+    nations.update_at(file, position, (71, "HEAD", 4))
+    nations.delete_at(*nations.place_of(_rid(engine, 0)))
+    return nations.rows()
+
+
+def _affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _nations(spark, sf_dir)
+    statements = ("INSERT INTO nations (n_nationkey, n_name, n_regionkey) VALUES (80, 'BAY', 1)", "UPDATE nations SET n_name = 'x' WHERE n_regionkey = 1", "DELETE FROM nations WHERE n_regionkey >= 3", "DELETE FROM nations WHERE n_regionkey = 99")
+    return spark.createDataFrame([(k, engine.execute(sql).affected_rows) for k, sql in enumerate(statements)], "statement int, affected long")
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Databases and tables after creating and dropping some, as a later session finds them."""
+    engine = _nations(spark, sf_dir)
+    for sql in ("CREATE TABLE kept (a INT)", "CREATE TABLE dropped (a INT)", "DROP TABLE dropped", "CREATE DATABASE spare", "USE DATABASE spare", "CREATE TABLE one (a INT)", "CREATE DATABASE gone", "DROP DATABASE gone", "CREATE DATABASE bare"):
+        engine.execute(sql)
+    store = Engine(spark, engine.store.root).store
+    found = [(d, t) for d in store.databases() for t in store.tables(d) or [None]]
+    return spark.createDataFrame(found, "database_name string, table_name string")
+
+
+def _recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _nations(spark, sf_dir)
+    engine.execute("UPDATE nations SET n_name = 'found again' WHERE n_regionkey = 4")
+    later = Engine(spark, engine.store.root)
+    later.execute("USE work")
+    return later.sql("SELECT n_nationkey, n_name FROM nations WHERE n_regionkey > 2")
+
+
+def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _nations(spark, sf_dir)
+    engine.execute("DELETE FROM nations WHERE n_regionkey = 0")
+    found = engine.stored("nations").statistics()
+    return spark.createDataFrame([(found["table"], found["row_count"], found["deleted_count"], found["version"])], "table_name string, row_count long, deleted_count long, version long")
+
+
+def _index_follows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _orders_index(spark, sf_dir)
+    engine.execute("UPDATE orders_kept SET o_custkey = 11 WHERE o_custkey BETWEEN 12 AND 14")
+    engine.execute("DELETE FROM orders_kept WHERE o_totalprice < 100000")
+    engine.execute("INSERT INTO orders_kept (o_orderkey, o_custkey, o_totalprice) VALUES (0, 11, 1.5)")
+    return engine.indexes.resolve("orders_by_customer", 11)
+
+
+def _nation_index(spark: SparkSession, sf_dir: str) -> Engine:
+    engine = _nations(spark, sf_dir)
+    engine.indexes.create("nation_keys", "work", "nations", "n_nationkey", IndexKind.PRIMARY)
+    engine.indexes.create("nation_regions", "work", "nations", "n_regionkey")
+    return engine
+
+
+def _index_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries made, moved and removed by hand, and a refused one."""
+    engine = _nation_index(spark, sf_dir)
+    ix = engine.indexes
+    ix.insert("nation_keys", 500, 10**6)
+    ix.update("nation_keys", 500, 501, 10**6)
+    ix.delete("nation_keys", 3)
+    refused = _refusals(engine, [("taken", lambda: ix.insert("nation_keys", 5, 1)), ("unknown", lambda: ix.search("no_index", 1))])
+    entries = ix.entries("nation_keys").select(F.concat(F.lit("key "), F.col("key").cast("string")).alias("attempt"), F.lit(None).cast("string").alias("error"))
+    return entries.union(refused)
+
+
+def _index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _nation_index(spark, sf_dir)
+    rows = engine.stored("nations").rows(with_rid=True).select(F.col("_rid").alias("rid"), "n_nationkey")
+    return engine.indexes.entries("nation_regions").join(rows, "rid").select("key", "n_nationkey")
+
+
+def _index_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _nation_index(spark, sf_dir)
+    engine.indexes.create("spare", "work", "nations", "n_name", build=False)
+    engine.indexes.drop("spare")
+    later = Engine(spark, engine.store.root).indexes
+    found = [(i.name, i.column, i.kind.value, len(later.of_column("work", "nations", i.column))) for i in later.of_table("work", "nations")]
+    return spark.createDataFrame(found, "name string, column_name string, kind string, on_column int")
+
+
+def _refusals(engine: Engine, cases: list) -> DataFrame:
+    """(attempt, error): the class of error that each statement or call ends in."""
+    found = []
+    for name, do in cases:
+        try:
+            engine.execute(do) if isinstance(do, str) else do()
+            found.append((name, None))
+        except EngineError as e:
+            found.append((name, type(e).__name__))
+    return engine.spark.createDataFrame(found, "attempt string, error string")
+
+
+_JOINED = "FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey"
+_REFUSED: dict[str, tuple[tuple[str, str, str], ...]] = {
+    "errors_names": (
+        ("ambiguous", "SELECT x.n_name FROM nation x JOIN nation y ON x.n_nationkey = y.n_regionkey WHERE n_name = 'X'", "AmbiguousColumn"),
+        ("ambiguous in a projection", "SELECT n_name FROM nation x JOIN nation y ON x.n_nationkey = y.n_regionkey", "AmbiguousColumn"),
+        ("twice in the output", "SELECT c_name, c_custkey AS C_NAME FROM customer", "DuplicateColumn"),
+        ("unknown column", f"SELECT c.n_name {_JOINED}", "UnknownColumn"),
+        ("unknown qualifier", f"SELECT z.n_name {_JOINED}", "UnknownColumn"),
+        ("unknown table", "SELECT a FROM nowhere", "TableNotFound"),
+    ),
+    "errors_grouping": (
+        ("ungrouped column", "SELECT c_name, COUNT(*) AS n FROM customer", "AggregationError"),
+        ("star", "SELECT * FROM customer GROUP BY c_name", "AggregationError"),
+        ("having without group", "SELECT COUNT(*) AS n FROM customer HAVING n > 1", "ParseError"),
+        ("sum of text", "SELECT SUM(c_name) AS s FROM customer", "TypeError_"),
+        ("sum of all", "SELECT SUM(*) AS s FROM customer", "ParseError"),
+    ),
+    "errors_limits": (
+        ("both", "SELECT n_name FROM nation LIMIT 1 FETCH FIRST 1 ROW ONLY", "ParseError"),
+        ("negative", "SELECT n_name FROM nation LIMIT -1", "ParseError"),
+        ("fraction", "SELECT n_name FROM nation LIMIT 1.5", "ParseError"),
+        ("too large", "SELECT n_name FROM nation LIMIT 3000000000", "ParseError"),
+        ("fetch of words", "SELECT n_name FROM nation FETCH FIRST 'a' ROWS ONLY", "ParseError"),
+    ),
+    "errors_changes": (
+        ("wrong type", "INSERT INTO nations (n_nationkey, n_name, n_regionkey) VALUES ('a', 'b', 1)", "InsertError"),
+        ("null", "INSERT INTO nations (n_nationkey, n_name, n_regionkey) VALUES (1, NULL, 1)", "InsertError"),
+        ("missing column", "INSERT INTO nations (n_nationkey, n_name) VALUES (1, 'b')", "InsertError"),
+        ("set twice", "UPDATE nations SET n_name = 'a', N_NAME = 'b'", "ParseError"),
+        ("set to a wrong type", "UPDATE nations SET n_regionkey = 'b'", "UpdateError"),
+        ("set an unknown column", "UPDATE nations SET size = 1", "UnknownColumn"),
+        ("no such table", "DELETE FROM nowhere", "TableNotFound"),
+        ("table exists", "CREATE TABLE nations (a INT)", "AlreadyExists"),
+        ("database exists", "CREATE DATABASE work", "AlreadyExists"),
+        ("no such database", "DROP DATABASE nowhere", "DatabaseNotFound"),
+    ),
+}
+
+
+def _refused(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = _nations(spark, sf_dir) if name == "errors_changes" else engine_on(spark, sf_dir)
+        return _refusals(engine, [(case, sql) for case, sql, _ in _REFUSED[name]])
+
+    return run
+
+
+def _values(rows, *names: str) -> str:
+    text = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({', '.join(names)})"
+
+
+CHANGES |= {
+    "source_memory": (_memory, "SELECT 'row ' || (k * k % 10) AS name, COUNT(*) AS n, SUM(k / 4) AS s FROM range(40) r(k) WHERE k % 3 <> 0 GROUP BY 1"),
+    "source_callback": (_callback, "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 5000"),
+    "record_by_id": (_by_id, "SELECT * FROM nation WHERE n_nationkey = 7"),
+    "record_by_place": (_by_place, "SELECT * FROM nation WHERE n_nationkey = 13"),
+    "record_counts": (_counts, "SELECT COUNT(*) - 1 AS active, COUNT(*) AS total, TRUE AS known, FALSE AS alive, FALSE AS stranger FROM nation"),
+    "dml_by_place": (_places_changed, "SELECT * FROM nation WHERE n_nationkey <> 0 UNION ALL SELECT 71, 'HEAD', 4"),
+    "dml_affected": (
+        _affected,
+        "SELECT 0 AS statement, 1::BIGINT AS affected UNION ALL SELECT 1, COUNT(*) + 1 FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 2, COUNT(*) FROM nation WHERE n_regionkey >= 3 UNION ALL SELECT 3, 0",
+    ),
+    "catalog_listing": (_listing, _values([("bare", None), ("spare", "one"), ("work", "kept"), ("work", "nations")], "database_name", "table_name")),
+    "catalog_recovered": (_recovered, "SELECT n_nationkey, CASE WHEN n_regionkey = 4 THEN 'found again' ELSE n_name END AS n_name FROM nation WHERE n_regionkey > 2"),
+    "table_statistics": (_statistics, "SELECT 'nations' AS table_name, COUNT(*) FILTER (n_regionkey <> 0) AS row_count, COUNT(*) FILTER (n_regionkey = 0) AS deleted_count, 2::BIGINT AS version FROM nation"),
+    "index_follows_changes": (
+        _index_follows,
+        "SELECT o_orderkey, 11::BIGINT AS o_custkey, o_totalprice FROM orders WHERE o_custkey BETWEEN 11 AND 14 AND o_totalprice >= 100000 UNION ALL SELECT 0, 11, 1.5",
+    ),
+    "index_changes": (_index_changed, "SELECT 'key ' || k AS attempt, NULL::VARCHAR AS error FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 501) UNION ALL SELECT * FROM (VALUES ('taken', 'IndexError_'), ('unknown', 'IndexError_'))"),
+    "index_entries": (_index_entries, "SELECT n_regionkey AS key, n_nationkey FROM nation"),
+    "index_catalog": (_index_catalog, _values([("nation_keys", "n_nationkey", "primary", 1), ("nation_regions", "n_regionkey", "non_unique", 1)], "name", "column_name", "kind", "on_column")),
+}
+CHANGES |= {name: (_refused(name), _values([(case, error) for case, _, error in cases], "attempt", "error")) for name, cases in _REFUSED.items()}
+
+
 def queries() -> dict[str, Query]:
     out = {name: _select(name, as_text=False) for name in SELECTS}
     out |= {f"sql_{name}": _select(name, as_text=True) for name in AS_TEXT}
