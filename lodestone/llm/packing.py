@@ -18,11 +18,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, partitions, python_batches, table
+from .common import let, materialize, partitions, python_batches, table
 from .tokens import batches, tokenizer
 
 CAPACITY = 4096
@@ -202,50 +202,57 @@ def layout(runs: list[_Run]) -> tuple[np.ndarray, ...]:
 
 # ---- on DataFrames
 
+_LAYOUT = ("size", "start", "each", "first", "at")
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+
+def _div(a: Column, b: Column) -> Column:
+    """Whole division of numbers that aren't negative, exact for all longs."""
+    return F.call_function("div", a, b)
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:
     """Adds sequence_id and offset to pieces with a ``length`` of 1..capacity, in few sequences without gaps.
 
     Only the histogram of lengths, at most ``capacity`` rows, goes to the driver, and only the plan's layout,
     bounded by the number of lengths and configurations, goes to the executors. Each piece gets its rank among
-    those of its length: pieces of a length are dealt by a hash and ranked within each share, so a length that a
-    third of all pieces have is no hot task. ``order`` and the other columns tell pieces apart; pieces equal in
-    all of them are interchangeable. The pieces are read several times and should be a written table. An empty
-    table gives an empty result; input columns named sequence_id or offset give way.
+    those of its length: pieces of a length are dealt by a hash of all their columns and ranked within each share, so
+    neither a length nor a key that a third of all pieces have is a hot task. Pieces equal in all columns are
+    interchangeable. The pieces are read several times and should be a written table. An empty table gives an empty
+    result; input columns named sequence_id or offset give way; a length that is null or outside 1..capacity is an error.
     """
     spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset")
     shares = partitions(spark)
-    dealt = pieces.withColumn("__ls_share", F.pmod(F.xxhash64(*order), F.lit(shares)).cast("int"))
+    dealt = pieces.withColumn("__ls_share", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in pieces.columns)), F.lit(shares)).cast("int"))
     n = materialize(dealt.groupBy(length, "__ls_share").agg(F.count(F.lit(1)).alias("__ls_n")), "lengths")
     histogram = {int(r[0]): int(r[1]) for r in n.groupBy(length).agg(F.sum("__ls_n")).collect()}
-    at = layout(plan(histogram, capacity))
+    segments = layout(plan(histogram, capacity))
     before = Window.partitionBy(length).orderBy("__ls_share").rowsBetween(Window.unboundedPreceding, -1)
     bases = n.select(length, "__ls_share", F.coalesce(F.sum("__ls_n").over(before), F.lit(0)).alias("__ls_base"))
     within = Window.partitionBy(length, "__ls_share").orderBy(*(c for c in dealt.columns if c not in (length, "__ls_share")))
     ranked = dealt.withColumn("__ls_rank", F.row_number().over(within) - 1).join(bases, [length, "__ls_share"])
+    ranked = ranked.withColumn("__ls_rank", (F.col("__ls_base") + F.col("__ls_rank")).cast("long"))
+    places = spark.createDataFrame(pd.DataFrame(dict(zip(_LAYOUT, segments))), ", ".join(f"{c} long" for c in _LAYOUT))
+    lists = places.groupBy("size").agg(F.sort_array(F.collect_list(F.struct("start", "each", "first", "at"))).alias("__ls_runs"))
+    steps = F.array(*(F.lit(1 << k) for k in range(max(len(segments[0]), 1).bit_length() - 1, -1, -1)))
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def placed(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
-        size, start, each, first, offset = at
-        key, want = ranks.to_numpy(np.int64), lengths.to_numpy(np.int64)
-        k = np.empty(len(key), np.int64)
-        for one in np.unique(want):  # a search among the segments of each length
-            mine = np.flatnonzero(want == one)
-            low, high = np.searchsorted(size, one, "left"), np.searchsorted(size, one, "right")
-            k[mine] = low + np.searchsorted(start[low:high], key[mine], "right") - 1
-        i = key - start[k]
-        return pd.DataFrame({"sequence_id": first[k] + i // each[k], "offset": offset[k] + i % each[k] * size[k]})
+    def run_of(runs: Column, rank: Column) -> Column:
+        """The last run that begins at or before the rank, by halving."""
+        last = F.aggregate(steps, F.lit(0), lambda k, step: F.when((k + step < F.size(runs)) & (F.get(runs, k + step)["start"] <= rank), k + step).otherwise(k))
+        return let(F.get(runs, last), lambda x: F.struct((x["first"] + _div(rank - x["start"], x["each"])).alias("s"), (x["at"] + F.pmod(rank - x["start"], x["each"]) * F.col("size")).alias("o")))
 
-    out = ranked.withColumn("__ls_at", placed(F.col(length).cast("long"), (F.col("__ls_base") + F.col("__ls_rank")).cast("long")))
-    return out.select(*pieces.columns, F.col("__ls_at.sequence_id").alias("sequence_id"), F.col("__ls_at.offset").alias("offset"))
+    # the layout is bounded by the lengths and configurations, whatever the corpus
+    placed = ranked.join(F.broadcast(lists), F.col(length) == F.col("size")).withColumn("__ls_at", run_of(F.col("__ls_runs"), F.col("__ls_rank")))
+    return placed.select(*pieces.columns, F.col("__ls_at.s").cast("long").alias("sequence_id"), F.col("__ls_at.o").cast("long").alias("offset"))
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents to pieces (key, piece, start, length, ids_crc32[, ids]) of at most ``capacity`` token ids.
 
     A document's ids are the tokenizer's, then ``end``; a null text is empty. Only longer ones are cut, into
-    whole pieces and a last one. ids: little-endian unsigned 32-bit. Each row gives its own pieces.
+    whole pieces and a last one. ids: little-endian unsigned 32-bit. Each row gives its own pieces, repeated rows and
+    null keys too; the key is cast to long, so it must be a number or text of one; an empty table gives none; other
+    columns are left out. A text of any length is encoded whole, in a worker's memory.
     """
     python_batches(docs.sparkSession, 2000)
     schema = f"{key} long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids

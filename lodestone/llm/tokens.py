@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import types
@@ -10,13 +11,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words in the cache at most, between batches, and the longest word that stays in it.
-MOST_WORDS = 300_000
+#: Bytes that the cache of words may take, about, and the longest word that it keeps.
+CACHE_BYTES = 80 << 20
 LONGEST = 40
+#: What a cached word takes besides its characters and ids.
+_ENTRY = 200
+#: Words that the tokenizer gets at once; it needs some hundred bytes for each.
+AT_ONCE = 10_000
 #: Letters below this are composed as they are and have one lower-case form, whatever stands around them.
 COMPLEX = "\u0130"
-#: A full stop or comma beside another mark, with which it would be one piece.
-_BESIDE = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))")
+#: A full stop or comma beside another mark, with which it would be one piece. U+001C to U+001F are marks to the
+#: tokenizer, but white space to ``\s``.
+_MARK = r"[^\w\s]|[_\x1c-\x1f]"
+_BESIDE = re.compile(rf"[.,](?:(?={_MARK})|(?<=[^\w\s].)|(?<=[_\x1c-\x1f].))")
 #: Letters, then ASCII marks without an apostrophe, which could begin a piece with letters.
 _MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
@@ -30,6 +37,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
@@ -38,7 +46,10 @@ class WordTokenizer:
         self.ends = np.zeros(size, bool)
         for piece, k in vocabulary.items():
             self.ends[k] = piece.endswith("</w>")
-        self.known: dict[str, bytes] = {}
+        # two generations: when the younger is full it becomes the elder, and what is looked up in the elder moves on
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.bytes = 0
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(words, add_special_tokens=False)]
@@ -52,23 +63,42 @@ class WordTokenizer:
         whole, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
         return [whole[a:b] for a, b in zip(at, at[1:])]
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that aren't in the cache. Letters with marks behind them are two pieces, each known by itself."""
-        known, parts = self.known, {}
-        plain = {w for w in words if w.isalpha() and max(w) < COMPLEX}
-        rest = words - plain
-        for w in rest:
-            if (cut := _MARKED.fullmatch(w)) and max(cut[1]) < COMPLEX:
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words. Letters with marks behind them are two pieces, each encoded by itself."""
+        plain, rest, parts = set(), set(), {}
+        for w in words:
+            if w.isalpha() and max(w) < COMPLEX:
+                plain.add(w)
+            elif (cut := _MARKED.fullmatch(w)) and max(cut[1]) < COMPLEX:
                 parts[w] = cut[1], cut[2]
-        rest = [w for w in rest if w not in parts]
-        more = {x for pair in parts.values() for x in pair}.difference(known, plain, rest)
-        letters = {w for w in more if w.isalpha()}
-        rest += more - letters
-        plain = list(plain | letters)
-        found = dict(zip(plain, self._letters(plain))) if plain else {}
-        found.update(zip(rest, self._encode(rest)) if rest else ())
-        for w, (one, two) in parts.items():
-            found[w] = (found[one] if one in found else known[one]) + (found[two] if two in found else known[two])
+                (plain if cut[1].isalpha() else rest).add(cut[1])
+                rest.add(cut[2])
+            else:
+                rest.add(w)
+        found: dict[str, bytes] = {}
+        for kind, encode in ((list(plain), self._letters), (list(rest), self._encode)):
+            for k in range(0, len(kind), AT_ONCE):
+                found.update(zip(kind[k : k + AT_ONCE], encode(kind[k : k + AT_ONCE])))
+        return [found[parts[w][0]] + found[parts[w][1]] if w in parts else found[w] for w in words]
+
+    def known(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, from the cache where it has them."""
+        found = list(map(self.young.get, words))
+        missing = [k for k, x in enumerate(found) if x is None]
+        if missing:
+            again = [words[k] for k in missing]
+            ids = list(map(self.old.get, again))
+            new = [k for k, x in enumerate(ids) if x is None]
+            for k, x in zip(new, self.learn([again[k] for k in new]) if new else ()):
+                ids[k] = x
+            for k, x in zip(missing, ids):
+                found[k] = x
+            for k in range(0, len(again), AT_ONCE):
+                pairs = [(w, x) for w, x in zip(again[k : k + AT_ONCE], ids[k : k + AT_ONCE]) if len(w) <= LONGEST]
+                self.young.update(pairs)
+                self.bytes += sum(_ENTRY + len(w) + len(x) for w, x in pairs)
+                if 2 * self.bytes > CACHE_BYTES:
+                    self.young, self.old, self.bytes = {}, self.young, 0
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -77,11 +107,7 @@ class WordTokenizer:
             return []
         lists = pc.split_pattern(pa.array([_spaced(t or "") for t in texts], pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
-        words, known = coded.dictionary.to_pylist(), self.known
-        missing = set(words) - known.keys()
-        if missing:
-            known.update(self.learn(missing))
-        found = [known[w] for w in words]
+        found = self.known(coded.dictionary.to_pylist())
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         starts = np.cumsum(sizes) - sizes
         pool = np.frombuffer(b"".join(found), "<u4")
@@ -90,10 +116,6 @@ class WordTokenizer:
         ends = np.concatenate(([0], np.cumsum(each)))
         ids = pool[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], each)].tobytes()
         cuts = (ends[lists.offsets.to_numpy()] * 4).tolist()
-        if len(known) > MOST_WORDS:  # the older half goes, and long words
-            kept = list(known.items())[len(known) // 2 :]
-            known.clear()
-            known.update((w, b) for w, b in kept if len(w) <= LONGEST)
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
@@ -117,7 +139,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return found[path]
 
 
-def batches(texts: list[str | None], chars: int = 6 << 20):
+def batches(texts: list[str | None], chars: int = 3 << 19):
     """Consecutive (from, to) ranges of about so many characters."""
     start = size = 0
     for k, t in enumerate(texts):

@@ -2,7 +2,10 @@
 
 import io
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -48,15 +51,56 @@ def test_words_in_order_are_the_text():
     assert tok.encode(noise) == [slow(t) for t in noise]
 
 
+MARKS = [".", ",", "!", "_", "'", "-", "\x1c", "\x1f", "a", "1", "é", " "]
+
+
+def test_every_low_character_beside_every_mark():
+    """U+0000 to U+017F and some others between, before and behind marks, against the whole text's encoding."""
+    tok = WordTokenizer(PATH)
+    odd = [*map(chr, range(0x180)), "\u0301", "\u1680", "\u2003", "\u2028", "\u3000", "\ufeff", "\u200b", "\U0001f600"]
+    for c in odd:
+        texts = [x + c + y for x in MARKS for y in MARKS] + [c + x + y for x in MARKS for y in MARKS] + [x + y + c for x in MARKS for y in MARKS]
+        assert tok.encode(texts) == [slow(t) for t in texts], hex(ord(c))
+
+
+def test_random_low_characters():
+    tok, rng = WordTokenizer(PATH), random.Random(31)
+    pool = [*map(chr, range(0x180)), *"..,,  \n''", *map(chr, range(0x1C, 0x20))]
+    texts = ["".join(rng.choices(pool, k=rng.randrange(1, 30))) for _ in range(20_000)]
+    assert tok.encode(texts) == [slow(t) for t in texts]
+
+
 def test_cache_is_bounded(monkeypatch):
     import lodestone.llm.tokens as K
 
-    monkeypatch.setattr(K, "MOST_WORDS", 10)
+    monkeypatch.setattr(K, "CACHE_BYTES", 4000)
+    monkeypatch.setattr(K, "AT_ONCE", 3)
     tok = WordTokenizer(PATH)
     for k in range(20):
-        text = " ".join(f"w{chr(97 + k)}{chr(97 + j)}" for j in range(9)) + " " + "y" * 99
-        assert tok.encode([text]) == [slow(text)]
-        assert len(tok.known) < 30
+        text = " ".join(f"w{chr(97 + k)}{chr(97 + j)}" for j in range(9)) + " same " + "y" * 99
+        assert tok.encode([text, text]) == [slow(text)] * 2
+        assert len(tok.young) + len(tok.old) < 30 and "y" * 99 not in tok.young
+
+
+def test_memory_of_a_worker_on_a_million_words():
+    """What a worker takes beyond the model stays bounded, however many distinct words it meets."""
+    code = f"""
+import random, sys
+sys.path.insert(0, {str(Path(P.__file__).parents[2])!r})
+from lodestone.llm.tokens import WordTokenizer, batches
+now = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+tok, rng, most = WordTokenizer({PATH!r}), random.Random(1), 0
+base = now()
+for _ in range(5):
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(20_000)) for _ in range(10)]
+    for a, b in batches(texts):
+        tok.encode(texts[a:b])
+        most = max(most, now())
+print(most - base)
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert said.returncode == 0, said.stderr
+    assert float(said.stdout) < 260
 
 
 def test_batches_cover_all():
