@@ -52,6 +52,8 @@ class TokenFileWriter:
         self.pack = zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=True).compress
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
+        if len(ids) >> 32:
+            raise ValueError(f"document {doc_id} has {len(ids) // 4} ids; the seek table counts a frame's bytes in 32 bits")
         frame = self.pack(ids)
         self.out.write(frame)
         self.ids.append(_NO_ID if doc_id is None else doc_id)
@@ -109,9 +111,13 @@ class TokenFile:
 def write_token_files(docs: DataFrame, path: str, folder: str, end: int = END, key: str = "doc_id", text: str = "text") -> list[tuple[str, int, int]]:
     """Writes all documents to files in ``folder`` and returns (uri, documents, tokens) of each, in order.
 
-    Documents are range-partitioned and sorted by key (nulls first), a file a partition, streamed document by
-    document. A task writes under a name of its own attempt and the returned list names the files of the attempts
-    that succeeded, so a lost executor leaves at most a file that nothing names. The list is one row per file.
+    Documents are range-partitioned and sorted by key (nulls first) and, where keys repeat or are null, by the text's
+    hash, so that no key's rows are bound to one task; a file a partition, streamed document by document. A task writes
+    under a name of its own attempt and the returned list names the files of the attempts that succeeded, so a lost
+    executor leaves at most a file that nothing names. The list is one row per file; an empty table gives none.
+
+    A null text is empty; repeated rows are frames of their own; the key is cast to long, so it must be a number or
+    text of one; other columns are left out. A document of 2**30 ids or more is an error, as the format can't hold it.
     """
     spark = docs.sparkSession
     python_batches(spark, 2000)
@@ -145,7 +151,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end: int = END, k
         if writer is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([len(writer.ids)], pa.int64()), pa.array([writer.tokens], pa.int64())], names=["part", "file", "docs", "tokens"])
 
-    dealt = docs.select(F.col(key).cast("long").alias(key), text).repartitionByRange(partitions(spark), F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first())
+    order = (F.col(key).asc_nulls_first(), F.xxhash64(text))
+    dealt = docs.select(F.col(key).cast("long").alias(key), text).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     listed = dealt.mapInArrow(write, "part long, file string, docs long, tokens long").collect()
     return [(r.file, r.docs, r.tokens) for r in sorted(listed, key=lambda r: r.part)]
 

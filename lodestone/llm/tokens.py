@@ -108,14 +108,17 @@ class WordTokenizer:
         lists = pc.split_pattern(pa.array([_spaced(t or "") for t in texts], pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
         found = self.known(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) >> 2
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         pool = np.frombuffer(b"".join(found), "<u4")
         at = coded.indices.to_numpy()
         each = sizes[at]
-        ends = np.concatenate(([0], np.cumsum(each)))
-        ids = pool[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], each)].tobytes()
-        cuts = (ends[lists.offsets.to_numpy()] * 4).tolist()
+        ends = np.zeros(len(at) + 1, np.int32)  # a batch has far fewer ids than 2**31
+        np.cumsum(each, out=ends[1:])
+        places = np.arange(ends[-1], dtype=np.int32)
+        places += np.repeat(starts[at] - ends[:-1], each)
+        ids = pool[places].tobytes()
+        cuts = (ends[lists.offsets.to_numpy()].astype(np.int64) * 4).tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
