@@ -1,11 +1,14 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
-The 64 bits are cut into one block more than the allowed differences. Two fingerprints that are near agree
-wholly on some block; rotated so that this block leads, they fall under one top node of the index. There are
-therefore as many rotated Gray orders as blocks, and a search under each top node misses no link. Inside a top
-node the codes are sorted by Gray rank; runs of them are factored into nodes that hold the bits all their codes
-share, a child keeping only the bits its parent lacks; pairs of nodes are pruned by the differences accumulated
-on the way down.
+Sorted by Gray rank, fingerprints whose leading bits agree lie together; runs of them are factored into nodes that hold
+the bits all their codes share, a child adding only what its parent lacks; and pairs of nodes are pruned, group by
+group, by the differences accumulated on the way down. The same descent is made twice: among Spark rows, from the
+ranges of the Gray order (all codes under a prefix) to the pairs of ranges that may hold links, before any code is
+sent; and inside a task, from the ranges that meet there to the leaves.
+
+Of ``most`` differences in 64 bits, one of most // 2 + 1 parts holds at most one. So there are as many Gray orders, each
+with the codes rotated to begin with another part, and in each order pairs of nodes with two differences among the
+leading part's bits are pruned as well: another order finds their links. No link is missed.
 """
 
 from __future__ import annotations
@@ -26,13 +29,14 @@ SEED = 42
 WORDS = 4
 MAX_DIFFERENCES = 4
 LEAF, FANOUT = 16, 4
-#: Top nodes of more codes are dealt in chunks, every pair of chunks a task's group of its own.
-CHUNK = 4096
+#: Codes under a prefix: at least and at most so many are aimed at, and in between what gives about GROUPS groups.
+MIN_CELL, MAX_CELL, GROUPS = 4096, 1 << 18, 48
+#: Bits by which prefixes of too many codes get longer.
+STEP = 4
+#: Pairs of nodes, and pairs of leaves, that a task looks at together.
+_PAIRS, _LEAVES = 1 << 15, 1 << 11
 #: Shingles in a chunk of texts whose similarity is verified; a task holds two chunks.
 CHUNK_SHINGLES = 1 << 17
-#: Links kept in memory before they are contracted to a forest.
-_FOLD = 1 << 20
-
 
 # ---- fingerprints
 
@@ -108,7 +112,7 @@ def fingerprints(text: Column, words: int = WORDS, tables: int = 1, minwise: int
     return of(text)
 
 
-# ---- the index, on one top node's codes
+# ---- the index, on the codes of a task's group
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -119,66 +123,75 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def rotated(codes: np.ndarray, by: int) -> np.ndarray:
-    return codes if by == 0 else (codes << np.uint64(by)) | (codes >> np.uint64(BITS - by))
-
-
 class GrayIndex:
-    """Nodes over codes in Gray order. Level 0 are runs of LEAF codes; each higher node joins FANOUT nodes."""
+    """Nodes over codes in Gray order. Level 0 are runs of LEAF codes; each higher node joins FANOUT nodes.
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
+    ``foreign`` marks codes whose links to each other are looked for elsewhere. ``looked`` counts by level the pairs of
+    nodes that were looked at and ``compared`` the pairs of codes.
+    """
+
+    def __init__(self, codes: np.ndarray, foreign: np.ndarray | None = None):
+        self.codes, self.foreign = codes, np.zeros(len(codes), bool) if foreign is None else foreign
         starts = np.arange(0, len(codes), LEAF)
-        ones, any_ = np.bitwise_and.reduceat(codes, starts), np.bitwise_or.reduceat(codes, starts)
-        self.masks, self.patterns = [ones | ~any_], [ones]
+        ones, any_, far = np.bitwise_and.reduceat(codes, starts), np.bitwise_or.reduceat(codes, starts), np.logical_and.reduceat(self.foreign, starts)
+        self.masks, self.patterns, self.far = [ones | ~any_], [ones], [far]
         while len(ones) > FANOUT:
             starts = np.arange(0, len(ones), FANOUT)
-            ones, any_ = np.bitwise_and.reduceat(ones, starts), np.bitwise_or.reduceat(any_, starts)
+            ones, any_, far = np.bitwise_and.reduceat(ones, starts), np.bitwise_or.reduceat(any_, starts), np.logical_and.reduceat(far, starts)
             self.masks.append(ones | ~any_)
             self.patterns.append(ones)
+            self.far.append(far)
+        self.looked, self.compared = [0] * len(self.masks), 0
 
-    def links(self, most: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def links(self, most: int, lead: int = 0, few: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """A spanning forest of the links with at most ``most`` differences, as positions (a, b).
 
-        ``apart``: the chunk of each code; only links between different chunks are looked for.
+        Pairs of nodes with more than ``few`` differences among the ``lead`` leading bits are pruned too.
         """
-        forest = _Forest(len(self.codes))
-        top = len(self.masks) - 1
-        n = len(self.masks[top])
-        i, j = np.triu_indices(n)
-        seen, acc = np.zeros(len(i), np.uint64), np.zeros(len(i), np.int64)
-        for level in range(top, -1, -1):
-            if level < top:  # to the children; pairs of a node with itself need each pair once
-                size = len(self.masks[level])
-                step = np.arange(FANOUT)
-                ci = np.repeat(i * FANOUT, FANOUT * FANOUT) + np.tile(np.repeat(step, FANOUT), len(i))
-                cj = np.repeat(j * FANOUT, FANOUT * FANOUT) + np.tile(np.tile(step, FANOUT), len(i))
-                ok = (ci < size) & (cj < size) & (ci <= cj)
-                i, j, seen, acc = ci[ok], cj[ok], np.repeat(seen, FANOUT * FANOUT)[ok], np.repeat(acc, FANOUT * FANOUT)[ok]
+        forest, top = _Forest(len(self.codes)), len(self.masks) - 1
+        leading = np.uint64(((1 << lead) - 1) << (BITS - lead))
+        i, j = np.triu_indices(len(self.masks[top]))
+        step = np.arange(FANOUT)
+        left, right = np.repeat(step, FANOUT), np.tile(step, FANOUT)
+        todo = [(top, i, j, np.zeros(len(i), np.uint64), np.zeros((2, len(i)), np.int8))]
+        while todo:
+            level, i, j, seen, acc = todo.pop()
+            most_now = _PAIRS if level else _LEAVES
+            if len(i) > most_now:
+                todo.append((level, i[most_now:], j[most_now:], seen[most_now:], acc[:, most_now:]))
+                i, j, seen, acc = i[:most_now], j[:most_now], seen[:most_now], acc[:, :most_now]
+            self.looked[level] += len(i)
             shared = self.masks[level][i] & self.masks[level][j]
-            new = shared & ~seen  # what the parents had is already counted
-            acc = acc + np.bitwise_count((self.patterns[level][i] ^ self.patterns[level][j]) & new)
-            ok = acc <= most
-            i, j, seen, acc = i[ok], j[ok], shared[ok], acc[ok]
-        per = max(1, _FOLD // (LEAF * LEAF * 4))
-        for k in range(0, len(i), per):
-            self._leaves(i[k : k + per], j[k : k + per], most, apart, forest)
+            new = (self.patterns[level][i] ^ self.patterns[level][j]) & shared & ~seen  # what the parents had is counted
+            acc = acc + np.stack([np.bitwise_count(new), np.bitwise_count(new & leading)]).astype(np.int8)
+            ok = (acc[0] <= most) & (acc[1] <= few if lead else True) & ~(self.far[level][i] & self.far[level][j])
+            i, j, shared, acc = i[ok], j[ok], shared[ok], acc[:, ok]
+            if not len(i):
+                continue
+            if level == 0:
+                self._leaves(i, j, most, forest)
+                continue
+            size = len(self.masks[level - 1])
+            ci, cj = (i[:, None] * FANOUT + left).ravel(), (j[:, None] * FANOUT + right).ravel()
+            ok = (ci < size) & (cj < size) & (ci <= cj)
+            ci, cj, seen, acc = ci[ok], cj[ok], np.repeat(shared, FANOUT * FANOUT)[ok], np.repeat(acc, FANOUT * FANOUT, axis=1)[:, ok]
+            own = ci == cj  # a node with itself comes first: what it links needn't be looked at again
+            todo.append((level - 1, ci[~own], cj[~own], seen[~own], acc[:, ~own]))
+            todo.append((level - 1, ci[own], cj[own], seen[own], acc[:, own]))
         return forest.edges()
 
-    def _leaves(self, i, j, most, apart, forest) -> None:
+    def _leaves(self, i: np.ndarray, j: np.ndarray, most: int, forest: _Forest) -> None:
         one = forest.uniform(LEAF)
         if one is not None:  # both leaves already in one tree: nothing to learn
             ok = ~((one[i] >= 0) & (one[i] == one[j]))
             i, j = i[ok], j[ok]
-        n, step = len(self.codes), np.arange(LEAF)
-        a = np.repeat(i * LEAF, LEAF * LEAF) + np.tile(np.repeat(step, LEAF), len(i))
-        b = np.repeat(j * LEAF, LEAF * LEAF) + np.tile(np.tile(step, LEAF), len(i))
-        ok = (a < b) & (b < n)
+        step = np.arange(LEAF)
+        a = (i[:, None] * LEAF + np.repeat(step, LEAF)).ravel()
+        b = (j[:, None] * LEAF + np.tile(step, LEAF)).ravel()
+        ok = (a < b) & (b < len(self.codes))
         a, b = a[ok], b[ok]
-        if apart is not None:
-            ok = apart[a] != apart[b]
-            a, b = a[ok], b[ok]
-        near = np.bitwise_count(self.codes[a] ^ self.codes[b]) <= most
+        self.compared += len(a)
+        near = (np.bitwise_count(self.codes[a] ^ self.codes[b]) <= most) & ~(self.foreign[a] & self.foreign[b])
         forest.add(a[near], b[near])
 
 
@@ -187,7 +200,7 @@ class _Forest:
 
     def __init__(self, n: int):
         self.label = np.arange(n)
-        self.touched = False
+        self.touched, self.known = False, None
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
         label = self.label
@@ -197,7 +210,7 @@ class _Forest:
             a, b, ra, rb = a[ok], b[ok], ra[ok], rb[ok]
             if not len(a):
                 break
-            self.touched = True
+            self.touched, self.known = True, None
             np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))
             while True:
                 up = label[label]
@@ -207,88 +220,132 @@ class _Forest:
 
     def uniform(self, run: int) -> np.ndarray | None:
         """The label of each run whose positions all have the same, else -1."""
-        if not self.touched:
-            return None
-        starts = np.arange(0, len(self.label), run)
-        low, high = np.minimum.reduceat(self.label, starts), np.maximum.reduceat(self.label, starts)
-        return np.where(low == high, low, -1)
+        if self.touched and self.known is None:
+            starts = np.arange(0, len(self.label), run)
+            low, high = np.minimum.reduceat(self.label, starts), np.maximum.reduceat(self.label, starts)
+            self.known = np.where(low == high, low, -1)
+        return self.known
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(self.label != np.arange(len(self.label)))
         return at, self.label[at]
 
 
-def _group_links(codes: np.ndarray, ids: np.ndarray, lead: int, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest links among one top node's fingerprints, as ids."""
-    turned = rotated(codes.view(np.uint64), lead)
-    order = np.argsort(gray_rank(turned), kind="stable")
-    cross = apart[order] if apart.min() != apart.max() else None
-    a, b = GrayIndex(turned[order]).links(most, cross)
+def _group_links(codes: np.ndarray, ids: np.ndarray, foreign: np.ndarray, most: int, lead: int, few: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forest links among the codes that meet in one group, as ids."""
+    order = np.argsort(gray_rank(codes), kind="stable")
+    a, b = GrayIndex(codes[order], foreign[order]).links(most, lead, few)
     return ids[order[a]], ids[order[b]]
 
 
 # ---- on DataFrames
 
 
-def blocks(most: int) -> list[tuple[int, int]]:
-    """(first bit from the left, width) of each leading block."""
-    cut = np.linspace(0, BITS, most + 2).round().astype(int)
-    return [(int(a), int(b - a)) for a, b in zip(cut, cut[1:])]
+def parts(most: int) -> tuple[list[tuple[int, int]], int]:
+    """(first bit from the left, width) of the part that leads each order, and the differences allowed in it."""
+    n = most // 2 + 1
+    cut = np.linspace(0, BITS, n + 1).round().astype(int)
+    return [(int(a), int(b - a)) for a, b in zip(cut, cut[1:])], most // n
+
+
+def _prefix(code: Column, depth: int) -> Column:
+    """The code with only its first bits."""
+    return code.bitwiseAND(F.lit(-(1 << (BITS - depth)) if depth else 0).cast("long"))
+
+
+def _apart(x: Column, depth: Column) -> Column:
+    """How many of the first ``depth`` bits are set."""
+    return F.when(depth > 0, F.bit_count(F.call_function("shiftrightunsigned", x, F.lit(BITS) - depth))).otherwise(F.lit(0))
 
 
-def near_links(prints: DataFrame, most: int = MAX_DIFFERENCES, chunk: int = CHUNK) -> DataFrame:
+def _ranges(codes: DataFrame, cell: int, depth: int, lead: int, few: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Codes (order, code, id) under their ``node``, and the pairs of nodes (order, a, b) that may hold links.
+
+    Nodes are prefixes of ``depth`` bits; those of more than 2 * ``cell`` codes are split by STEP further bits, again and
+    again, as long as that prunes (within the leading part), and beyond that where a task couldn't hold them. Pairs of
+    their children are pruned by the differences of the bits that both have. What is counted and joined here are nodes,
+    whose number is that of the codes divided by about ``cell``.
+    """
+    codes = codes.withColumn("node", _prefix(F.col("code"), depth))
+    nodes = materialize(codes.groupBy("order", "node").agg(F.count(F.lit(1)).alias("n")), "nodes")
+    near = F.array(F.col("node"), *(F.col("node").bitwiseXOR(F.lit(1 << (BITS - 1 - k) if k else -(1 << (BITS - 1))).cast("long")) for k in range(depth if few else 0)))
+    there = nodes.select("order", F.col("node").alias("b"))
+    pairs = nodes.select("order", F.col("node").alias("a"), F.explode(near).alias("b")).where("a <= b").join(hinted(there), ["order", "b"])
+    pairs = materialize(pairs.select("order", "a", "b", F.lit(depth).alias("da"), F.lit(depth).alias("db")), "node-pairs")
+    while depth < BITS:
+        most_codes = 2 * cell if depth + STEP <= lead else 2 * max(cell, MAX_CELL)
+        large = materialize(nodes.where(F.col("n") > most_codes).select("order", "node", F.lit(True).alias("large")), "large-nodes")
+        if large.isEmpty():
+            break
+        depth = min(depth + STEP, BITS)
+        split = codes.join(hinted(large), ["order", "node"], "left").withColumn("parent", F.when(F.col("large"), F.col("node")))
+        split = split.withColumn("node", F.when(F.col("large"), _prefix(F.col("code"), depth)).otherwise(F.col("node"))).drop("large")
+        nodes = materialize(split.where("parent is not null").groupBy("order", "parent", "node").agg(F.count(F.lit(1)).alias("n")), "nodes")
+        for side, other in (("a", "b"), ("b", "a")):
+            kids = nodes.select("order", F.col("parent").alias(side), F.col("node").alias("kid"))
+            pairs = pairs.withColumn("own", F.col("a") == F.col("b")) if side == "a" else pairs
+            pairs = pairs.join(hinted(kids), ["order", side], "left").withColumn(f"d{side}", F.when(F.col("kid").isNotNull(), F.lit(depth)).otherwise(F.col(f"d{side}")))
+            pairs = pairs.withColumn(f"new_{side}", F.coalesce("kid", side)).drop("kid")
+        pairs = pairs.select("order", F.col("new_a").alias("a"), F.col("new_b").alias("b"), "da", "db", "own")
+        x, common = F.col("a").bitwiseXOR(F.col("b")), F.least("da", "db")
+        pairs = pairs.where((~F.col("own") | (F.col("a") <= F.col("b"))) & (_apart(x, common) <= most) & (_apart(x, F.least(common, F.lit(lead))) <= few))
+        pairs = materialize(pairs.drop("own"), "node-pairs")
+        codes = split.drop("parent")
+    return codes, pairs.select("order", "a", "b")
+
+
+def near_links(prints: DataFrame, most: int = MAX_DIFFERENCES, cell: int | None = None) -> DataFrame:
     """(id, fps), one row per id, to links (u, v) between ids of which a fingerprint differs in at most ``most`` bits.
 
     Fingerprints are compared with those at the same place of the arrays. The links connect exactly the ids that all
     near pairs would connect: of each group only a spanning forest is returned, so a dense group of n gives fewer
-    than n links, not n squared. Groups under a top node go to tasks; a node of more than ``chunk`` codes is dealt in
-    chunks, each pair of chunks a group of its own, so that no task holds more than two chunks of it.
+    than n links, not n squared. Each node of the ranges is a group: its own codes, and those of the neighbouring nodes
+    that are paired with it; of a pair, a hash says which node takes the other's codes. A code is sent once for itself
+    and for about half of the neighbours of its node, of which there are as many as its prefix has bits. ``prints`` is
+    read several times and should be a written table.
     """
     spark, fp = prints.sparkSession, F.col("fp")
-    tops = F.array(
-        *(
-            F.struct(F.lit(k).alias("r"), F.shiftrightunsigned(fp, BITS - at - width).bitwiseAND(F.lit((1 << width) - 1)).cast("int").alias("top"))
-            for k, (at, width) in enumerate(blocks(most))
-        )
-    )
-    entries = prints.select("id", F.posexplode("fps").alias("t", "fp")).select("id", "t", "fp", F.inline(tops))
-    large = checkpoint(entries.groupBy("t", "r", "top").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("t", "r", "top", F.ceil(F.col("n") / chunk).cast("int").alias("c")))
-    dealt = entries.join(hinted(large), ["t", "r", "top"], "left").withColumn("c", F.coalesce("c", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
-    node = (F.col("t") * len(blocks(most)) + F.col("r")).cast("int").alias("node")
-    dealt = dealt.withColumn("x", other).select("fp", "id", node, "top", "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
-    by = ["node", "top", "i", "j"]
-    starts = [at for at, _ in blocks(most)]
+    starts, few = parts(most)
+    lead = min(width for _, width in starts)
+    size = prints.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("fps")), F.lit(0)).alias("t")).first()
+    cell = cell or int(min(max(size.n * size.t * len(starts) // GROUPS, MIN_CELL), MAX_CELL))
+    depth = min(max((max(size.n - 1, 0) // cell).bit_length(), 0), lead)
+    turned = F.array(*(F.struct((F.col("t") * len(starts) + k).cast("int").alias("order"), (fp if not at else F.shiftleft(fp, at).bitwiseOR(F.shiftrightunsigned(fp, BITS - at))).alias("code")) for k, (at, _) in enumerate(starts)))
+    codes = prints.select("id", F.posexplode("fps").alias("t", "fp")).select(F.inline(turned), "id")
+    codes, pairs = _ranges(codes, cell, depth, lead, few, most)
+    flip = (F.xxhash64("a", "b") % 2 == 0) & (F.col("a") != F.col("b"))
+    sent = pairs.select("order", F.when(flip, F.col("a")).otherwise(F.col("b")).alias("home"), F.when(flip, F.col("b")).otherwise(F.col("a")).alias("node"))
+    sent = materialize(sent, "sent")
+    dealt = codes.join(hinted(sent), ["order", "node"]).select("code", "id", "order", "home", (F.col("node") != F.col("home")).alias("foreign"))
+    by = ["order", "home"]
+    widths = [width for _, width in starts]
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        group = [2, 3, 5, 6]
+        at = None
 
-        def found(rows: np.ndarray):
-            if len(rows) > 1:
-                u, v = _group_links(np.ascontiguousarray(rows[:, 0]), rows[:, 1], starts[int(rows[0, 2]) % len(starts)], rows[:, 4], most)
+        def found():
+            if sum(map(len, held)) > 1:
+                rows = np.concatenate(held)
+                u, v = _group_links(rows[:, 0].view(np.uint64).copy(), rows[:, 1].copy(), rows[:, 2] != 0, most, widths[at[0] % len(widths)], few)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            held.clear()
 
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("fp", "id", "node", "top", "own", "i", "j")], axis=1)
-            if not len(rows):
+            if not len(batch):
                 continue
-            if held and (held[-1][-1, group] != rows[0, group]).any():
-                yield from found(np.concatenate(held))
-                held = []
-            ends = np.flatnonzero((rows[1:, group] != rows[:-1, group]).any(axis=1)) + 1
-            parts = np.split(rows, ends)
-            for part in parts[:-1]:
-                yield from found(np.concatenate([*held, part]))
-                held = []
-            held.append(parts[-1])
-        if held:
-            yield from found(np.concatenate(held))
-
-    sorted_ = dealt.repartition(partitions(spark), *by).sortWithinPartitions(*by)
-    return sorted_.mapInArrow(search, "u long, v long")
+            rows = np.stack([batch.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in ("code", "id", "foreign")], axis=1)
+            order, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in by)
+            ends = [0, *(np.flatnonzero((order[1:] != order[:-1]) | (home[1:] != home[:-1])) + 1).tolist(), len(rows)]
+            for a, b in zip(ends, ends[1:]):
+                if at != (now := (int(order[a]), int(home[a]))):
+                    yield from found()
+                    at = now
+                held.append(rows[a:b])
+        yield from found()
+
+    return dealt.repartition(partitions(spark), *by).sortWithinPartitions(*by).mapInArrow(search, "u long, v long")
 
 
 def classes(prints: DataFrame, most: int = MAX_DIFFERENCES) -> DataFrame:
@@ -419,41 +476,48 @@ def verified_classes(docs: DataFrame, prints: DataFrame, least: float, most: int
     return units.join(hinted(best), "unit", "left").select("unit", F.coalesce("best", "first").alias("first"))
 
 
+def _of_groups(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows that stay: ``found`` has (key, unit: the text's xxhash64, first: what ``_first`` gives of the row that stays)
+    of every row. A row is told by key and text together, so rows that repeat a key aren't mistaken for one another.
+    Of rows equal in both one stays; rows with a null key all stay."""
+    named = found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__ls_key"), F.col("unit").alias("__ls_unit")).agg(F.count(F.lit(1)).alias("n"), F.first("first").alias("first"))
+    named = materialize(named.withColumn("stays", (F.col("__ls_key") == F.col("first.key")) & (F.col("__ls_unit") == F.col("first.unit"))), "verdicts")
+    rows = docs.withColumn("__ls_of", F.xxhash64(text))
+    is_ = lambda x: (rows[key] == x["__ls_key"]) & (rows["__ls_of"] == x["__ls_unit"])
+    gone = materialize(named.where(~F.col("stays")).select("__ls_key", "__ls_unit"), "dropped")
+    twice = materialize(named.where("stays and n > 1").select("__ls_key", "__ls_unit"), "repeated")
+    kept = rows.join(hinted(gone), is_(gone), "left_anti")
+    if not twice.isEmpty():
+        again = rows.join(hinted(twice), is_(twice), "left_semi").dropDuplicates([key, "__ls_of"])
+        kept = kept.join(hinted(twice), is_(twice), "left_anti").unionByName(again)
+    return kept.drop("__ls_of")
+
+
 def similar_dedup(docs: DataFrame, least: float, most: int = MAX_DIFFERENCES, words: int = WORDS, tables: int = 1, minwise: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with one of each group left that pairs of shingle similarity ``least`` or more connect.
 
     The fingerprints, ``tables`` SimHashes and ``minwise`` min-wise ones, only find candidates; a link counts if the
     whole texts' shingle sets are similar. Of a group the row of the least key stays, of rows that repeat a key and a
-    text one; rows with a null key stay. Texts without words are alike.
+    text one; rows with a null key stay. Texts without words, null ones too, are alike; an empty table stays empty;
+    further columns are kept, and no column name clashes.
     """
     of = docs.select(F.col(key).alias(key), fingerprints(F.col(text), words, tables, minwise).alias("fps"), F.xxhash64(text).alias("unit"))
     prints = materialize(of.withColumn("id", F.xxhash64("fps")), "fingerprints")
     named = materialize(verified_classes(docs, prints, least, most, words, key, text), "similar-classes")
-    found = checkpoint(prints.select(key, "unit").join(named, "unit"))
-    if found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
-        best = found.where((F.col(key) == F.col("first.key")) & (F.col("unit") == F.col("first.unit")))
-        best = best.select(F.col(key).alias("__ls_key"), F.col("unit").alias("__ls_unit")).distinct()
-        rows = docs.withColumn("__ls_of", F.xxhash64(text))
-        kept = rows.join(best, (rows[key] == best["__ls_key"]) & (rows["__ls_of"] == best["__ls_unit"]), "left_semi").dropDuplicates([key, "__ls_of"])
-        return kept.union(rows.where(F.col(key).isNull())).drop("__ls_of")
-    drop = checkpoint(found.where(F.col(key) != F.col("first.key")).select(F.col(key).alias("__ls_key")))
-    return docs.join(hinted(drop), docs[key] == F.col("__ls_key"), "left_anti")
+    return _of_groups(docs, prints.select(key, "unit").join(named, "unit"), key, text)
 
 
 def near_dedup(docs: DataFrame, most: int = MAX_DIFFERENCES, words: int = WORDS, tables: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with one of each group of near-duplicates left, that of the least key.
+    """The documents with one of each group of near fingerprints left, the row of the least key (then text hash).
 
-    The dropped keys are broadcast behind a count, else joined. Rows with a null key stay. Where keys repeat,
-    a key doesn't tell a row: the rows are then matched by key and fingerprint, and one row of a group stays.
+    Rows with a null key stay; rows that repeat a key are told apart by their texts; of rows that repeat both one stays;
+    texts without words, null ones too, are alike; an empty table stays empty; no column name clashes.
     """
-    found = checkpoint(simhash_classes(docs, most, words, tables, key, text))
-    if found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
-        best = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__ls_key"), F.col("fps").alias("__ls_fps")).dropDuplicates(["__ls_key"])
-        named = docs.withColumn("__ls_of", fingerprints(F.col(text), words, tables))
-        kept = named.join(best, (named[key] == best["__ls_key"]) & (named["__ls_of"] == best["__ls_fps"]), "left_semi").dropDuplicates([key])
-        return kept.union(named.where(F.col(key).isNull())).drop("__ls_of")
-    drop = checkpoint(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__ls_key")))
-    return docs.join(hinted(drop), docs[key] == F.col("__ls_key"), "left_anti")
+    of = docs.select(F.col(key).alias(key), fingerprints(F.col(text), words, tables).alias("fps"), F.xxhash64(text).alias("unit"))
+    prints = materialize(of.withColumn("id", F.xxhash64("fps")), "fingerprints")
+    reps = materialize(prints.groupBy("id", "fps").agg(F.min(_first(key, "unit")).alias("rep")), "distinct-fingerprints")
+    named = materialize(classes(reps, most), "near-classes")
+    return _of_groups(docs, prints.select(key, "unit", "id").join(named, "id").select(key, "unit", F.col("component").alias("first")), key, text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,20 +66,72 @@ def test_gray_rank_is_the_inverse_of_the_gray_code():
     assert (S.gray_rank(n ^ (n >> np.uint64(1))) == n).all()
 
 
-@pytest.mark.parametrize("chunk", [4096, 3])
-def test_links_in_chunks_connect_the_same(spark, chunk):
+@pytest.mark.parametrize("most", [0, 1, 2, 3, 4, 6])
+@pytest.mark.parametrize("cell", [None, 40, 3])
+def test_links_over_ranges_connect_the_same(spark, monkeypatch, cell, most):
+    """Also where ranges are split again and again, and beyond the leading part."""
+    monkeypatch.setattr(S, "MAX_CELL", 8)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 6, dtype=np.uint64)
     codes = np.unique(base[rng.integers(0, 6, 90)] ^ (np.uint64(1) << rng.integers(0, 64, 90).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 90).astype(np.uint64)))
     prints = spark.createDataFrame([(int(c), [int(c)]) for c in codes.view(np.int64)], "id long, fps array<long>")
-    roots = {r.node: r.root for r in connected_components(S.near_links(prints, chunk=chunk)).collect()}
-    want = slow_components(len(codes), lambda a, b: int(codes[a] ^ codes[b]).bit_count() <= 4)
+    roots = {r.node: r.root for r in connected_components(S.near_links(prints, most, cell)).collect()}
+    want = slow_components(len(codes), lambda a, b: int(codes[a] ^ codes[b]).bit_count() <= most)
     signed = codes.view(np.int64).tolist()
     got = [roots.get(c, c) for c in signed]
     groups = lambda labels: {frozenset(i for i, x in enumerate(labels) if x == y) for y in set(labels)}
     assert groups(got) == groups(want)
 
 
+def test_whole_groups_are_pruned_above_the_leaves():
+    """At 10^5 random codes nearly all pairs of leaves fall with nodes above them, in each of the orders."""
+    codes = np.random.default_rng(4).integers(0, 2**63, 100_000, dtype=np.uint64) * np.uint64(2) + np.random.default_rng(5).integers(0, 2, 100_000, dtype=np.uint64)
+    starts, few = S.parts(4)
+    assert few == 1 and sum(w for _, w in starts) == 64
+    for _, width in starts:
+        index = S.GrayIndex(codes[np.argsort(S.gray_rank(codes))])
+        index.links(4, width, few)
+        leaves = len(index.masks[0])
+        assert index.looked[0] < 0.05 * leaves * (leaves + 1) / 2  # pairs of leaves that were reached at all
+        assert index.compared < 0.01 * len(codes) * (len(codes) - 1) / 2
+        assert sum(index.looked) < 0.1 * leaves * (leaves + 1) / 2
+
+
+def test_a_dense_ball_is_linked_without_all_pairs():
+    rng = np.random.default_rng(6)
+    codes = np.unique(np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 40, (3, 12_000)).astype(np.uint64), axis=0))
+    index = S.GrayIndex(codes[np.argsort(S.gray_rank(codes))])
+    forest = S._Forest(len(codes))
+    forest.add(*index.links(4, 21, 1))
+    assert (forest.label == 0).all() and index.compared < 0.5 * len(codes) * (len(codes) - 1) / 2
+
+
+def test_foreign_codes_meet_own_ones_only():
+    codes = np.array([0, 1, 3, 1 << 40, (1 << 40) + 1], np.uint64)
+    order = np.argsort(S.gray_rank(codes))
+    index = S.GrayIndex(codes[order], np.array([False, True, True, True, True])[order])
+    a, b = index.links(2)
+    assert {frozenset((int(codes[order[x]]), int(codes[order[y]]))) for x, y in zip(a, b)} == {frozenset((0, 1)), frozenset((0, 3)), frozenset((0, 1 << 40)), frozenset((0, (1 << 40) + 1))}
+
+
+def test_near_dedup_of_repeated_keys(spark):
+    """Rows are told by key and text: an unrelated row that shares a key with a dropped or kept one stays."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(12)] + [None, "", "short", "  "]
+    rows = [(rng.choice([None, 1, 2, 3, 4, 5]), rng.choice(texts)) for _ in range(70)] + [(1, "alpha beta gamma delta"), (1, "completely different words here"), (2, "alpha beta gamma delta")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("unit", F.lit("x")).withColumn("first", F.lit(1))
+    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    names = sorted(set(rows), key=str)
+    label = slow_components(len(names), lambda a, b: (slow_print(names[a][1]) ^ slow_print(names[b][1])).bit_count() <= 4)
+    best = {}
+    for k, row in enumerate(names):
+        best[label[k]] = min(best.get(label[k], row), row, key=lambda r: (r[0] is None, r[0] or 0, hashed[r[1]]))
+    want = [r for r in rows if r[0] is None] + [r for r in names if r[0] is not None and r in best.values()]
+    got = S.near_dedup(docs)
+    assert got.columns == docs.columns and sorted((str((r.doc_id, r.text)) for r in got.collect())) == sorted(map(str, want))
+    assert S.near_dedup(docs.limit(0)).collect() == []
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, 200 + k) for k in range(50)] + [(7, 7), (None, 3), (300, 301), (301, 300)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

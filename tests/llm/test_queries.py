@@ -14,9 +14,9 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lodestone.llm import chat, linededup, mixing, queries
-from lodestone.llm.simhash import fingerprint
 from test_documents import slow_counts
 from test_near import slow_components, slow_print, slow_removed
+from test_pipeline import shingle_set, similarity
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -146,9 +146,8 @@ def test_pipeline_against_brute_force(spark, duck):
     assert sorted(map(tuple, two.collect())) == sorted(left)
     # near-duplicates
     left.sort()
-    prints = np.array([fingerprint(r[1], corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.FINGERPRINTS) for r in left], np.int64)
-    assert all(int(p[0]) & (2**64 - 1) == slow_print(r[1], corpus_pipeline.SHINGLE_WORDS) for p, r in zip(prints, left))
-    label = slow_components(len(left), lambda a, b: bool((np.bitwise_count(prints[a].view(np.uint64) ^ prints[b].view(np.uint64)) <= 4).any()))
+    sets = [shingle_set(r[1]) for r in left]  # the stage acts at the exact similarity of five-word shingles
+    label = slow_components(len(left), lambda a, b: similarity(sets[a], sets[b]) >= corpus_pipeline.SIMILARITY)
     left = [r for k, r in enumerate(left) if label[k] == k]
     three = spark.createDataFrame(corpus_pipeline.near(spark, two, SF).collect(), docs.schema)
     assert sorted(map(tuple, three.collect())) == left
