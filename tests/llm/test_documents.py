@@ -116,21 +116,41 @@ def test_reply_trees(spark):
     one = next(r for r in best if r.conv_id == 1)
     assert [(t.role, t.text) for t in one.turns] == [("user", "root"), ("assistant", "better"), ("us\ner", "other")]
     assert [one.formatted[s.start : s.end] for s in one.loss] == ["better"]
-    again = messages.union(messages).union(spark.createDataFrame([(None, 1, None, "user", "x", 0.0), (1, None, None, "user", "x", 0.0)], messages.schema))
-    assert {r.formatted for r in chat.format_conversations(again).collect()} == {r.formatted for r in best}
+    more = [(None, 1, None, "user", "no name", 0.0), (None, 2, 1, "assistant", "none", 0.0), (1, None, None, "user", "x", 0.0)]
+    again = messages.union(messages).union(spark.createDataFrame(more, messages.schema))
+    got = chat.format_conversations(again).withColumn("said", chat.read_loss(F.col("formatted"), F.col("loss"))).collect()
+    assert {r.formatted for r in got if r.conv_id is not None} == {r.formatted for r in best}
+    assert [(r.n_turns, r.said) for r in got if r.conv_id is None] == [(2, ["none"])]  # a conversation like any other
+    wrong = F.array(F.struct(F.lit(3).alias("start"), F.lit(9).alias("end")))
+    with pytest.raises(Exception, match="loss span"):
+        chat.format_conversations(messages).select(chat.read_loss(F.col("formatted"), wrong)).collect()
     assert [(t.role, t.text) for t in next(r for r in best if r.conv_id == 3).turns] == [("", chat.PROBE)]
     assert chat.format_conversations(messages.limit(0)).collect() == []
 
 
+def test_rounds_end_with_the_largest_conversation(spark, monkeypatch):
+    """A cycle costs no more rounds than a path through its conversation could."""
+    written = []
+    keep = chat.materialize
+    monkeypatch.setattr(chat, "materialize", lambda df, name, *more: written.append(name) or keep(df, name, *more))
+    rows = [(1, 1, 2, "user", "a", 0.0), (1, 2, 3, "user", "b", 0.0), (1, 3, 1, "user", "c", 0.0)]
+    messages = spark.createDataFrame(rows, "conv_id long, id long, parent long, role string, text string, score double")
+    assert chat.format_conversations(messages).collect() == [] and len(written) <= 5
+    written.clear()
+    deep = spark.range(1, 41).selectExpr("7L as conv_id", "id", "nullif(id - 1, 0) as parent", "'user' as role", "cast(id as string) as text", "0D as score")
+    out = chat.format_conversations(deep.union(messages)).collect()
+    assert [r.n_turns for r in out] == [40] and written.count("climb") <= 7
+
+
 def test_long_chains_and_loss(spark):
     rows = [(9, k, ("assistant", "user")[k % 2], TRICKY[k % len(TRICKY)] if k % 5 else f"t{k}") for k in range(70)] + [(9, None, "system", "first"), (4, 1, "user", "x"), (4, 1, "assistant", "x")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = chat.format_conversations(chat.chains(turns)).withColumn("turns", chat.read_turns(F.col("formatted"))).collect()
+    out = chat.format_conversations(chat.chains(turns)).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("said", chat.read_loss(F.col("formatted"), F.col("loss"))).collect()
     nine = next(r for r in out if r.conv_id == 9)
     want = [("system", "first")] + [(r[2], r[3] or "") for r in rows[:70]]
     assert [(t.role, t.text) for t in nine.turns] == want and nine.n_turns == 71
     undo = lambda s: s.replace("&#91;", "[").replace("&lt;", "<").replace("&#10;", "\n").replace("&amp;", "&")
-    assert [undo(nine.formatted[s.start : s.end]) for s in nine.loss] == [x for role, x in want if role == "assistant"]
+    assert [undo(nine.formatted[s.start : s.end]) for s in nine.loss] == nine.said == [x for role, x in want if role == "assistant"]
     assert [t.role for t in next(r for r in out if r.conv_id == 4).turns] == ["assistant", "user"]
 
 
