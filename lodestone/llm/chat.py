@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, materialize, table
+from .common import let, materialize, partitions, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Control strings of the common chat templates begin with one of these; their first character is escaped.
@@ -97,7 +97,7 @@ def reply_paths(messages: DataFrame, top_k: int = 1) -> DataFrame:
     leaves = rooted.join(inner, _same(rooted, inner), "left_anti").withColumn("path_score", F.col("total") / F.col("depth"))
     rank = Window.partitionBy("conv_id").orderBy(F.desc("path_score"), "id")
     chosen = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= top_k)
-    paths = chosen.select("conv_id", F.col("id").alias("leaf"), "branch", "path_score", F.lit(0).cast("long").alias("back"), "id")
+    paths = materialize(chosen.select("conv_id", F.col("id").alias("leaf"), "branch", "path_score", F.lit(0).cast("long").alias("back"), "id"), "paths")
     for k, jump in enumerate(jumps):
         jump = jump.select(F.col("conv_id").alias("c"), F.col("id").alias("p"), "up")
         further = paths.join(jump, _same(paths, jump)).select("conv_id", "leaf", "branch", "path_score", (F.col("back") + (1 << k)).alias("back"), F.col("up").alias("id"))
@@ -118,8 +118,13 @@ def format_conversations(messages: DataFrame, top_k: int = 1, loss_role: str = L
     named = messages.where("id is not null").groupBy("conv_id", "id").agg(least)
     messages = materialize(named.select("conv_id", "id", "m.*"), "messages")
     paths = reply_paths(messages, top_k)
-    texts = messages.select(F.col("conv_id").alias("c"), F.col("id").alias("p"), "role", "text")
-    turns = paths.join(texts, _same(paths, texts)).select("conv_id", "leaf", "branch", "path_score", "back", _head(F.col("role")).alias("head"), escaped(F.col("text")).alias("body"), F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("own"))
+    # texts and places on paths meet by conversation, so that the texts are dealt once
+    place = F.struct("leaf", "branch", "path_score", "back")
+    texts = messages.select("conv_id", "id", F.struct("role", "text").alias("m"), F.lit(None).cast(paths.select(place.alias("p")).schema["p"].dataType).alias("p"))
+    both = texts.unionByName(paths.select("conv_id", "id", F.lit(None).cast(texts.schema["m"].dataType).alias("m"), place.alias("p")))
+    met = both.repartition(partitions(messages.sparkSession), "conv_id").groupBy("conv_id", "id").agg(F.first("m", ignorenulls=True).alias("m"), F.collect_list("p").alias("p"))
+    turns = met.select("conv_id", F.inline("p"), "m.role", "m.text")
+    turns = turns.select("conv_id", "leaf", "branch", "path_score", "back", _head(F.col("role")).alias("head"), escaped(F.col("text")).alias("body"), F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("own"))
     before = Window.partitionBy("conv_id", "leaf").orderBy(F.desc("back")).rowsBetween(Window.unboundedPreceding, -1)
     size = F.length("head") + F.length("body") + len(END) + 1
     turns = turns.withColumn("at", (F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head")).cast("int"))
