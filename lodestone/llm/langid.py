@@ -26,15 +26,22 @@ BITS, STEPS, RATE, PENALTY = 15, 120, 2.0, 1e-4
 MARGIN = 0.2
 SEED = 5
 UNKNOWN = "und"
+#: Languages at most; what the driver gets in training is bounded by this and SAMPLE.
+LANGUAGES = 1000
 _BYTES = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether there is a character of the Unicode category L; numbers such as \u00bd or \u2167 are none."""
+    return any(m[0].isalpha() for m in re.finditer(r"[^\W\d_]", text))
+
+
 def features(text: str | None) -> np.ndarray | None:
     """Square roots of the shares of a text's byte bigrams and trigrams, hashed; None without a letter.
 
     Upper case, digits and ASCII marks make no difference, nor does how words are separated.
     """
-    if not text or not re.search(r"[^\W\d_]", text):
+    if not text or not has_letter(text):
         return None
     raw = b" " + b" ".join(text.lower().encode().translate(_BYTES).split()) + b" "
     b = np.frombuffer(raw, np.uint8).astype(np.uint32)
@@ -107,10 +114,14 @@ def train(x: np.ndarray, languages: list[str]) -> CodeClassifier:
 
 def fit(docs: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> CodeClassifier:
     """Trains on texts with a language outside the held-out fold: all of a language's, or about its even share of
-    ``sample`` by key hash. The driver gets their n-gram shares."""
+    ``sample`` by key hash. The driver gets their n-gram shares. Null keys, texts and languages are left out, and texts
+    without a letter; repeated rows count each; without any row every text is ``und``; more than LANGUAGES values of
+    ``lang`` are an error. Whole texts are read, however long."""
     python_batches(docs.sparkSession)
     usable = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
-    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of {lang}")
     if not counts:
         return train(np.zeros((0, FEATURES)), [])
     each = sample / len(counts)
@@ -128,8 +139,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str =
 
 
 def identified(docs: DataFrame, model: CodeClassifier, text: str = "text") -> DataFrame:
-    """Adds lang_pred, score and ambiguous; ``und`` with score 0 for texts without a letter. Input columns of these
-    names give way."""
+    """Adds lang_pred, score and ambiguous; ``und`` with score 0 for null texts and texts without a letter. Each row is
+    judged by itself, repeated ones too; ties go to the first language by name; an empty table gives an empty result.
+    Input columns of these names give way."""
     python_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")

@@ -25,9 +25,9 @@ SCHEME = "media:"
 #: Payloads are images of this width, 8 bits a sample.
 WIDTH = 64
 _MEDIA = ("img", "audio", "video", "source", "embed")
-_SILENT = ("script", "style", "template", "noscript")
+_SILENT = ("script", "style", "template")
 #: What can stand in a head; any other element or text ends it, since its end tag may be left out.
-_HEAD = (*_SILENT, "head", "title", "meta", "link", "base")
+_HEAD = (*_SILENT, "html", "head", "title", "meta", "link", "base")
 _BREAKS = ("p", "div", "br", "li", "ul", "ol", "tr", "td", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "figure", "blockquote", "pre", "hr", "title", "body")
 
 
@@ -39,7 +39,7 @@ class _Sequence(HTMLParser):
         self.items: list[dict] = []
         self.words: list[str] = []
         self.silent = 0
-        self.head = self.title = False
+        self.head = self.title = self.quiet = False  # quiet: inside a head's noscript
         self.figures: list[list[dict]] = []
         self.caption: list[str] | None = None
 
@@ -49,7 +49,18 @@ class _Sequence(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
 
+    def _open_caption(self) -> None:
+        """A caption that isn't closed is text where it stands."""
+        if self.caption is not None:
+            self.words += self.caption
+            self.caption = None
+
     def handle_starttag(self, tag, attrs):
+        if tag == "body":
+            self.quiet = False
+        if self.quiet or tag == "noscript":
+            self.quiet = self.quiet or self.head
+            return
         if tag == "head":
             self.head = True
         elif tag not in _HEAD and not self.silent:
@@ -58,14 +69,19 @@ class _Sequence(HTMLParser):
         if tag in _SILENT:
             self.silent += 1
         elif tag == "figcaption":
+            self._open_caption()
             self.caption = []
+        elif tag in _BREAKS and self.caption is not None and tag != "figure":
+            self.caption.append(" ")
         elif tag in _BREAKS:
+            self._open_caption()
             self._flush()
             if tag == "figure":
                 self.figures.append([])
         elif tag in _MEDIA:
             values = dict(attrs)
             if values.get("src"):
+                self._open_caption()
                 self._flush()
                 item = {"kind": "media", "text": None, "ref": values["src"].removeprefix(SCHEME), "caption": values.get("alt") or values.get("title")}
                 self.items.append(item)
@@ -73,6 +89,9 @@ class _Sequence(HTMLParser):
                     figure.append(item)
 
     def handle_endtag(self, tag):
+        if self.quiet or tag == "noscript":
+            self.quiet = self.quiet and tag not in ("noscript", "head")
+            return
         if tag == "head":
             self.head = False
         self.title = self.title and tag != "title"
@@ -87,12 +106,17 @@ class _Sequence(HTMLParser):
             else:
                 self.words.append(f" {text} ")
             self.caption = None
+        elif tag in _BREAKS and self.caption is not None and tag not in ("figure", "body"):
+            self.caption.append(" ")
         elif tag in _BREAKS:
+            self._open_caption()
             self._flush()
             if tag == "figure" and self.figures:
                 self.figures.pop()
 
     def handle_data(self, data):
+        if self.quiet:
+            return
         if not self.silent and not self.title and data.strip():
             self.head = False
         if not self.silent and not self.head:
@@ -104,8 +128,7 @@ def sequence(html: str | None) -> list[dict]:
     parser = _Sequence()
     parser.feed(html or "")
     parser.close()
-    if parser.caption:
-        parser.words += parser.caption
+    parser._open_caption()
     parser._flush()
     return [{"position": k, **item} for k, item in enumerate(parser.items)]
 
@@ -137,10 +160,15 @@ def interleave(pages: DataFrame, media: DataFrame, columns: tuple[str, ...] = ("
 
 
 def resolve(parsed: DataFrame, media: DataFrame, columns: tuple[str, ...] = ("media",)) -> DataFrame:
-    """One row per item of ``__ls_items``, with its page's other columns and its medium's ``columns``."""
+    """One row per item of ``__ls_items``, with its page's other columns and its medium's ``columns``.
+
+    Only references are joined; texts, which have none, don't meet under one null key. Pages without items give no row;
+    repeated pages give their rows each; the page's own columns keep their names.
+    """
     items = parsed.select(*[c for c in parsed.columns if c != "__ls_items"], F.inline("__ls_items"))
     named = media.select(F.col("digest").alias("__ls_digest"), *columns)  # a written table, so a hot digest can be split
-    return items.join(named, F.col("ref") == F.col("__ls_digest"), "left").drop("__ls_digest")
+    found = items.where("ref is not null").join(named, F.col("ref") == F.col("__ls_digest"), "left").drop("__ls_digest")
+    return found.unionByName(items.where("ref is null"), allowMissingColumns=True)
 
 
 # ---- payloads: bytes as 8-bit images
@@ -174,7 +202,12 @@ def feature(samples: bytes) -> str:
 
 
 def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, digest, media): each text's UTF-8 as a stored image, padded with zeros to whole rows."""
+    """(key, n_bytes, digest, media): each text's UTF-8 as a stored image, padded with zeros to whole rows.
+
+    A null text is empty, and an empty one is one row of zeros; equal texts have equal media; repeated rows are stored
+    each; the key is cast to long, so it must be a number or text of one; a text of any length is one image; an empty
+    table gives none; other columns are left out.
+    """
     python_batches(docs.sparkSession)
 
     def store(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +223,11 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def described(media: DataFrame) -> DataFrame:
-    """(digest, media) to one row per digest: sizes, digests and a feature of the bytes as stored."""
+    """(digest, media) to one row per digest: sizes, digests and a feature of the bytes as stored.
+
+    Repeated digests are described each and folded by a partial minimum; a medium that isn't an 8-bit image is an error;
+    an empty table gives none; other columns are left out.
+    """
 
     def describe(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -208,11 +245,12 @@ def described(media: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a page that shows its text's image; the image's table is written, read back and joined."""
+    """Each document as a page of texts around its text's image; the images' table is written, read back, described and
+    joined, and the page's items come back in order with their captions."""
     kept = materialize(store_texts(table(spark, sf_dir, "documents")), "media")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("without a name"))
-    html = F.concat(F.lit("<article><h1>Document "), name, F.lit('</h1><figure><img src="' + SCHEME), F.col("digest"), F.lit('"><figcaption>The text of document '), name, F.lit("</figcaption></figure></article>"))
-    parsed = kept.select("doc_id", "n_bytes", sequences(html).alias("__ls_items"))
+    html = F.concat(F.lit("<article><h1>Document "), name, F.lit('</h1><figure><img src="' + SCHEME), F.col("digest"), F.lit('"><figcaption>The text of document '), name, F.lit("</figcaption></figure><p>of "), F.col("n_bytes").cast("string"), F.lit(" bytes</article>"))
     facts = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    items = resolve(parsed, materialize(described(kept), "described"), facts).where("kind = 'media'")
-    return items.select("doc_id", "n_bytes", *facts, "position", "caption")
+    pages = interleave(kept.select("doc_id", "n_bytes", html.alias("html")), materialize(described(kept), "described"), facts)
+    shown = pages.select("doc_id", "n_bytes", F.size("items").alias("n_items"), F.get(F.filter("items", lambda x: x["kind"] == "media"), F.lit(0)).alias("shown"))
+    return shown.select("doc_id", "n_bytes", *(f"shown.{c}" for c in facts), "shown.position", "shown.caption", "n_items")

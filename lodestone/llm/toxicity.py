@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import python_batches, table
+from .common import hinted, materialize, python_batches, table
 
 BUCKETS = 1 << 18
 #: Labelled documents in training, about and in expectation at most.
@@ -104,27 +104,44 @@ def train(found: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "toxic") -> FactorizationMachine:
     """Trains on the labelled documents outside the held-out fold, all or about ``sample`` of them by key hash.
 
-    Null labels and keys are left out; contradicting labels of a key count as toxic. The driver gets the buckets of
-    those documents' whole texts.
+    Null labels and keys are left out; contradicting labels of a key count as toxic; repeated rows of a document count
+    each; null and empty texts have no terms; without labels the machine scores one half. Documents and toxic ones are
+    counted by bucket on the executors; the driver gets, of each sampled document, the chosen buckets only, at most
+    TERMS of them.
     """
     python_batches(docs.sparkSession)
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).alias("__ls_y"))
     n = marked.count()
     rank = F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1_000_003))
-    chosen = F.broadcast(marked.where(rank < 1_000_003 * min(1.0, sample / max(n, 1))))
+    chosen = materialize(marked.where(rank < 1_000_003 * min(1.0, sample / max(n, 1))), "labelled")
 
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<int>")
+    def buckets(texts: pd.Series) -> pd.Series:
         known: dict[str, tuple[int, int]] = {}
-        return texts.map(lambda t: terms(t, known).tobytes())
+        return texts.map(lambda t: terms(t, known))
+
+    rows = docs.select(key, text).join(hinted(chosen), key).select(key, buckets(F.col(text)).alias("t"), (F.col("__ls_y") > 0).cast("int").alias("y"))
+    rows = materialize(rows, "labelled-terms")
+    all_ = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
+    total, toxic = float(all_.n), float(all_.p or 0)
+    df, hit = F.col("df"), F.col("hit")
+    seen = rows.select("y", F.explode("t").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("y").cast("double").alias("hit"))
+    tells = total * (hit * (total - toxic) - (df - hit) * toxic) ** 2 / (df * (total - df) * F.lit(toxic * (total - toxic)))
+    best = seen.where((df >= LEAST_DOCS) & (df < total)).withColumn("chi2", tells).where(F.col("chi2") >= LEAST_CHI2 * 0.999) if 0 < toxic < total else seen.limit(0)
+    best = best.orderBy(F.desc("chi2"), "bucket").limit(TERMS) if 0 < toxic < total else best
+    kept = np.sort(np.array([r.bucket for r in best.select("bucket").collect()], np.int32))
+
+    @F.pandas_udf("binary")
+    def packed(found: pd.Series) -> pd.Series:
+        return found.map(lambda t: np.intersect1d(np.asarray(t, np.int32), kept).tobytes())
 
-    rows = docs.select(key, text).join(chosen, key).select(key, packed(F.col(text)).alias("t"), F.col("__ls_y").alias("y")).collect()
-    rows = sorted(rows, key=lambda r: (r[0], r.t))
-    return train([np.frombuffer(r.t, np.int32) for r in rows], np.array([int(r.y > 0) for r in rows]))
+    got = sorted(rows.select(key, packed("t").alias("t"), "y").collect(), key=lambda r: (r[0], r.t, r.y))
+    return train([np.frombuffer(r.t, np.int32) for r in got], np.array([r.y for r in got]))
 
 
 def scored(docs: DataFrame, machine: FactorizationMachine, text: str = "text") -> DataFrame:
-    """Adds ``score``; a null or empty text gets the bias alone. An input column named score gives way."""
+    """Adds ``score``; a null or empty text gets the bias alone. Each row is scored by itself, from its whole text; an
+    empty table gives an empty result; an input column named score gives way."""
     python_batches(docs.sparkSession)
 
     @F.pandas_udf("double")

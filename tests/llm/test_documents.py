@@ -76,6 +76,41 @@ def test_mixing_odd_inputs(spark, monkeypatch, broadcast):
         mixing.mix_sources(docs, {"s": -1.0})
 
 
+def poisson_quantile(u, rate):
+    """Slow: adds probabilities up, from far below the mean."""
+    k = max(0, int(rate - 15 * math.sqrt(rate)))
+    total, p = 0.0, math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
+    while True:
+        total += p
+        if total > u:
+            return k
+        k += 1
+        p *= rate / k
+
+
+def test_expansion_for_large_rates(spark):
+    cases = [(u, rate) for rate in (4097.0, 50_000.0, 3e6) for u in (1e-7, 0.001, 0.02, 0.03, 0.25, 0.5, 0.51, 0.9, 0.99, 0.999999)]
+    got = spark.createDataFrame(cases, "u double, rate double").select("u", "rate", mixing.large_draw(F.col("u"), F.col("rate")).alias("n")).collect()
+    assert all(abs(r.n - poisson_quantile(r.u, r.rate)) <= 1 for r in got)
+    far = spark.createDataFrame([(0.5, 2e9), (0.0, 2e9)], "u double, rate double").select(mixing.large_draw(F.col("u"), F.col("rate")).alias("n")).collect()
+    assert abs(far[0].n - 2e9) <= 1 and 2e9 - 20 * math.sqrt(2e9) < far[1].n < 2e9
+
+
+@pytest.mark.parametrize("broadcast", [2000, -1])
+def test_one_document_stands_for_half_of_the_output(spark, monkeypatch, broadcast):
+    """A source of one document with a large weight: no table of its rate, copies made in blocks, none lost."""
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", broadcast)
+    docs = spark.createDataFrame([(0, "rare", "t")] + [(k, "common", "t") for k in range(1, 400)], "doc_id long, source string, text string")
+    out = mixing.mix_sources(docs, {"rare": 0.5}, rows=300_000)
+    n = {r.source: (r.n, r.lo, r.hi, r.d) for r in out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("copy").alias("lo"), F.max("copy").alias("hi"), F.countDistinct("doc_id", "copy").alias("d")).collect()}
+    assert abs(n["rare"][0] - 150_000) < 6 * math.sqrt(150_000) and n["rare"][1:] == (1, n["rare"][0], n["rare"][0])
+    assert n["common"][0] == n["common"][3] and abs(n["common"][0] - 150_000) < 6 * math.sqrt(150_000)
+    tables = mixing.cumulative(spark.createDataFrame([("x", 1, 2e9)], "source string, n long, rate double")).collect()
+    assert tables[0].cdf is None
+    with pytest.raises(Exception, match="2\\*\\*31"):
+        mixing.mix_sources(docs, {"rare": 0.5}, rows=6 * 10**9).limit(1).collect()
+
+
 def test_poisson_table_for_large_rates(spark):
     got = mixing.cumulative(spark.createDataFrame([("x", 1, 1200.0), ("y", 1, 0.3), ("z", 1, 0.0)], "source string, n long, rate double")).collect()
     cdf = {r.source: r.cdf for r in got}
@@ -237,6 +272,51 @@ def test_toxicity(spark):
     assert 0 < none.score(np.zeros(0, np.int32)) < 1 and toxicity.scored(docs.limit(0), none).collect() == []
 
 
+def test_machine_score_against_all_pairs():
+    """The machine's sum over pairs, written out."""
+    rng = np.random.default_rng(2)
+    buckets = np.sort(rng.choice(1000, 40, replace=False)).astype(np.int32)
+    machine = toxicity.FactorizationMachine(buckets, -0.3, rng.normal(size=40), rng.normal(size=(40, 4)))
+    for _ in range(20):
+        found = np.sort(rng.choice(1000, 200, replace=False)).astype(np.int32)
+        at = [int(np.flatnonzero(buckets == x)[0]) for x in found if x in buckets]
+        z = machine.bias + sum(machine.weights[a] for a in at) + sum(float(machine.factors[a] @ machine.factors[b]) for k, a in enumerate(at) for b in at[:k])
+        assert abs(machine.score(found) - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+
+
+def test_fit_sends_the_chosen_buckets_only(spark):
+    """Choosing terms among the executors gives the machine that all terms on the driver give."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choices([f"w{x}" for x in range(60)], k=12) + (["brute"] if k % 4 == 0 else []))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    used = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    whole = toxicity.train([toxicity.terms(t, {}) for _, t in used], np.array([int(k % 4 == 0) for k, _ in used]))
+    machine = toxicity.fit(docs, labels)
+    assert (machine.buckets == whole.buckets).all() and len(whole.buckets) and np.allclose(machine.weights, whole.weights) and abs(machine.bias - whole.bias) < 1e-9
+
+
+def test_decoding_against_the_definition():
+    rng = np.random.default_rng(9)
+    x = np.abs(rng.normal(size=(60, langid.FEATURES)))
+    model = langid.train((x / x.sum(axis=1, keepdims=True)).astype(np.float32), [f"l{k % 3}" for k in range(60)])
+    for text in ("some words here", "другие слова", "déjà vu"):
+        margins = [float(langid.features(text) @ model.weights[:, b] + model.bias[b]) for b in range(model.code.shape[1])]
+        cost = [sum(model.trust[b] * math.log1p(math.exp(-model.code[k, b] * m)) for b, m in enumerate(margins)) for k in range(3)]
+        lang, score, _ = model.predict(text)
+        assert lang == model.languages[int(np.argmin(cost))]
+        assert abs(score - 1 / sum(math.exp(min(cost) - c) for c in cost)) < 1e-6
+
+
+def test_letters_are_the_category_l():
+    import unicodedata
+
+    for c in map(chr, range(0x3100)):
+        assert langid.has_letter(c) == unicodedata.category(c).startswith("L")
+    assert not any(map(langid.has_letter, ("", "12 ½ ² Ⅷ ①", "_-_"))) and langid.has_letter("½ ª")
+    assert langid.features("½²") is None
+
+
 def test_held_out_fold(spark):
     out = spark.range(50).withColumnRenamed("id", "doc_id").select("doc_id", toxicity.held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)

@@ -69,6 +69,7 @@ def test_op2(spark, ids):
         places.setdefault(r.sequence_id, []).append((r.offset, r.length))
     for rows in places.values():
         assert [o for o, _ in sorted(rows)] == [0, *np.cumsum([n for _, n in sorted(rows)])[:-1]] and sum(n for _, n in rows) <= 4096
+    assert len(places) <= 1.01 * -(-sum(r.length for r in got) // 4096) + 1  # close to what the volume needs
 
 
 def test_op3(spark, duck):
@@ -102,7 +103,14 @@ def test_op6(spark, texts):
         raw = texts[r.doc_id].encode()
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r.caption == f"The text of document {r.doc_id}"
+        assert (r.caption, r.position, r.n_items) == (f"The text of document {r.doc_id}", 1, 3)
+        medium = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
+        assert (r.media_bytes, r.media_sha256) == (len(medium), hashlib.sha256(medium).hexdigest())
+        image = [payload[k : k + 64] for k in range(0, len(payload), 64)]
+        mean, steps = sum(payload) / len(payload), [abs(a - b) for row in image for a, b in zip(row, row[1:])]
+        spread = (sum((x - mean) ** 2 for x in payload) / len(payload)) ** 0.5
+        slow = [mean, spread, sum(steps) / len(steps), *(sum(x // 32 == band for x in payload) / len(payload) for band in range(8))]
+        assert np.allclose([float(x) for x in r.feature.split(",")], slow, atol=1.01e-4)
 
 
 def test_op7_and_op8_cover_all(spark, texts, duck):
