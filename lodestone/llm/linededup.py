@@ -4,6 +4,8 @@ A line of length L is cut into one segment more than the allowed edits. Of two l
 longer one holds some segment of the shorter unchanged, at a place that the lengths and the edits left and right of
 it confine to a few positions. So the shorter line's segments are indexed under (its length, the segment's number, the
 segment), and each line probes, for its own length and the few below it, the substrings at those positions.
+Segments that many lines share aren't joined: cut into two segments more than the edits, lines within that distance share
+two of them, so the lines under such a segment are joined by pairs of shorter ones instead.
 Pairs that meet are verified by a banded bit-parallel edit distance. Everything here is DataFrame operations.
 """
 
@@ -16,12 +18,13 @@ from .common import WHITE, added, hinted, let, materialize, table
 from .components import connected_components
 
 EDITS = 2
-#: Shorter lines are left alone: too little to tell copies from coincidence.
+#: Shorter lines aren't compared by edits: too little to tell copies from coincidence. Of exact copies too they are left
+#: alone, unless ``exact_chars`` asks for them.
 MIN_CHARS = 20
 #: Lines with more copies than both this and one in HOT_SHARE of all lines are probed once only.
 HOT_COPIES, HOT_SHARE = 64, 1_000_000
 LETTERS = "abcdefghiklmnoprstuwy"
-#: Where more lines than this are indexed under a key, letter counts are compared as well.
+#: Segments that more different lines than this share are joined in pairs.
 CROWD = 8
 
 
@@ -32,11 +35,11 @@ def _ints(*values: int) -> Column:
 # ---- keys
 
 
-def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 1, length) of each segment; the later ones take the remainder."""
+def _segments(length: Column, n: int) -> list[tuple[Column, Column]]:
+    """(start from 1, length) of each of ``n`` segments; the later ones take the remainder."""
     out, start = [], F.lit(1)
-    for k in range(edits + 1):
-        size = F.floor((length + k) / (edits + 1)).cast("int")
+    for k in range(n):
+        size = F.floor((length + k) / n).cast("int")
         out.append((start, size))
         start = start + size
     return out
@@ -52,7 +55,7 @@ def probe_keys(line: Column, length: Column, edits: int = EDITS) -> tuple[list[C
     out, own = [], []
     for less in range(edits + 1):
         short = length - less
-        for k, (start, size) in enumerate(_segments(short, edits)):
+        for k, (start, size) in enumerate(_segments(short, edits + 1)):
             low, high = max(-k, less - (edits - k)), min(k, less + (edits - k))  # edits left and right of the segment
             for at in range(low, high + 1):
                 if less == at == 0:
@@ -61,6 +64,30 @@ def probe_keys(line: Column, length: Column, edits: int = EDITS) -> tuple[list[C
     return out, own
 
 
+def pair_keys(line: Column, length: Column, edits: int = EDITS) -> tuple[list[Column], list[int]]:
+    """As ``probe_keys``, for two segments of edits + 2 at once: with at most ``edits`` edits two stay unchanged.
+
+    The edits before the first, between the two and behind the second shift them; as many shifts are probed as fit
+    into ``edits`` together.
+    """
+    out, own = [], []
+    for less in range(edits + 1):
+        short = length - less
+        segments = _segments(short, edits + 2)
+        for i, (start, size) in enumerate(segments):
+            for j, (start2, size2) in enumerate(segments[i + 1 :], i + 1):
+                for at in range(-edits, edits + 1):
+                    for at2 in range(-edits, edits + 1):
+                        # nothing stands before the first segment of all, so it can't be shifted; nor, at the end, the last
+                        fits = abs(at) + abs(at2 - at) + abs(less - at2) <= edits and (i or not at) and (j < edits + 1 or at2 == less) and (j > i + 1 or at == at2)
+                        if fits:
+                            if less == at == at2 == 0:
+                                own.append(len(out))
+                            pieces = F.concat_ws("\x00", F.substring(line, start + at, size), F.substring(line, start2 + at2, size2))
+                            out.append(_key(short, 100 + i * (edits + 2) + j, pieces))
+    return out, own
+
+
 def signature(line: Column) -> Column:
     """Counts of some common letters modulo 8 in a cyclic Gray code, 3 bits each.
 
@@ -189,26 +216,31 @@ def _texts(docs: DataFrame, groups: DataFrame, wanted: DataFrame, min_chars: int
 def _candidates(narrow: DataFrame, own: list[int], hot: DataFrame, texts_of, edits: int, key: str) -> DataFrame:
     """Distinct pairs (a, b) of line hashes whose lines share a segment at a fitting place.
 
-    Lines that share much, but differ by more than a few letters, crowd under common keys; the letter counts of
-    lines that meet such keys are compared inside the join, so it doesn't make rows of them.
+    A segment that more than CROWD lines share is not joined, so no key makes more rows than CROWD for a probe. The lines
+    that meet under such a segment share two shorter ones if they are near, and are joined by those. Lines that share two
+    and still differ by more (a form with other numbers in it) are told apart inside that join by their letter counts,
+    without making rows.
     """
     probing = narrow.join(hinted(hot), "k1", "left")
-    probing = probing.where(F.col("first").isNull() | F.col("first").eqNullSafe(F.struct(key, "d", "n")))
+    probing = probing.where(F.col("first").isNull() | F.col("first").eqNullSafe(F.struct(key, "d", "n"))).where("keys is not null")
     indexed = F.explode(F.array(*(F.get("keys", F.lit(k)) for k in own))).alias("key")
-    count = probing.select(indexed, "k1").repartition("key").distinct().groupBy("key").count()
-    crowded = materialize(count.where(F.col("count") > CROWD).select("key"), "crowded-keys")
-    there = probing.select(F.explode("keys").alias("key"), "k1").join(hinted(crowded), "key", "left_semi")
-    crowd = materialize(there.select("k1").distinct(), "crowd")
-    signed = texts_of(crowd).groupBy("k1").agg(F.min(signature(F.col("line"))).alias("low"), F.max(signature(F.col("line"))).alias("high"))
-    sigs = hinted(materialize(signed.select("k1", F.when(F.col("low") == F.col("high"), F.col("low")).alias("sig")), "signatures"))
-    index = probing.select(indexed, "k1").repartition("key").distinct().join(sigs, "k1", "left").select("key", F.col("k1").alias("a"), F.col("sig").alias("asig"))
-    probe = probing.select("k1", "keys").join(sigs, "k1", "left").select(F.explode("keys").alias("key"), F.col("k1").alias("b"), "sig")
-    alike = F.coalesce(F.bit_count(F.col("asig").bitwiseXOR(F.col("sig"))) <= 2 * edits, F.lit(True))
-    met = index.hint("shuffle_hash").join(probe, "key").where((F.col("a") != F.col("b")) & alike)
+    index = probing.select(indexed, "k1").repartition("key").distinct()
+    crowded = materialize(index.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "crowded-keys")
+    probe = probing.select(F.explode("keys").alias("key"), F.col("k1").alias("b"))
+    sparse = index.join(hinted(crowded), "key", "left_anti").withColumnRenamed("k1", "a")
+    met = sparse.hint("shuffle_hash").join(probe, "key").where("a <> b").select("a", "b")
+    crowd = materialize(probe.join(hinted(crowded), "key", "left_semi").select(F.col("b").alias("k1")).distinct(), "crowd")
+    line = F.col("line")
+    keys, mine = pair_keys(line, F.length("line"), edits)
+    pairs = materialize(texts_of(crowd).select("k1", signature(line).alias("sig"), F.array(*keys).alias("keys")), "crowd-keys")
+    pair_index = pairs.select(F.explode(F.array(*(F.get("keys", F.lit(k)) for k in mine))).alias("key"), F.col("k1").alias("a"), F.col("sig").alias("asig"))
+    pair_probe = pairs.select(F.explode("keys").alias("key"), F.col("k1").alias("b"), "sig")
+    alike = F.bit_count(F.col("asig").bitwiseXOR(F.col("sig"))) <= 2 * edits
+    met = met.union(pair_index.join(pair_probe, "key").where((F.col("a") != F.col("b")) & alike).select("a", "b"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text", exact_chars: int | None = None) -> DataFrame:
     """(key, d, removed): for each document that loses lines, their numbers from 0; d is its text's xxhash64.
 
     1. The lines' two 64-bit hashes, place and keys are written once, without the texts.
@@ -218,9 +250,10 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     4. The texts of lines in candidate pairs are read again and verified; links become components.
     5. Each line learns the first place of its component; all others of it are removed.
     """
-    lines = _lines(docs, min_chars, key, text)
+    lines = _lines(docs, min_chars if exact_chars is None else min(exact_chars, min_chars), key, text)
     keys, own = probe_keys(F.col("line"), F.col("size"), edits)
-    narrow = materialize(lines.select(key, "d", "n", "k1", "k2", F.array(*keys).alias("keys")), "lines")
+    held = F.array(*keys) if exact_chars is None else F.when(F.col("size") >= min_chars, F.array(*keys))
+    narrow = materialize(lines.select(key, "d", "n", "k1", "k2", held.alias("keys")), "lines")
     place = F.struct(key, "d", "n")
     groups = materialize(narrow.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "line-groups")
     total = narrow.count()
@@ -244,17 +277,18 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     return gone.groupBy(key, "d").agg(F.sort_array(F.collect_set("n")).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text", exact_chars: int | None = None) -> DataFrame:
     """Documents without the lines that repeat an earlier line, exactly or within ``edits`` edits.
 
     Lines are what newlines separate. Of each component of links, over all documents, the line at the least
-    (key, text hash, number) stays. Lines of fewer than ``min_chars`` characters, or without a word, stay. Adds
-    n_lines, n_removed (long), n_long_left (long: lines of min_chars or more that stay) and removed (array of line numbers).
+    (key, text hash, number) stays. Lines of fewer than ``min_chars`` characters stay, or, if ``exact_chars`` is given,
+    are removed as exact copies from so many characters on; lines without a word stay. Lines and texts may be of any
+    length. Adds n_lines, n_removed (long), n_long_left (long: lines of min_chars or more that stay) and removed (array of line numbers).
 
     A null text stays null with no lines; a null key orders before all others; rows equal in key and text are one
     place and lose the same lines; a document may be left empty; input columns named like an output give way.
     """
-    gone = removed_lines(docs, edits, min_chars, key, text).select(F.col(key).alias("__ls_key"), F.col("d").alias("__ls_hash"), F.col("removed").alias("__ls_removed"))
+    gone = removed_lines(docs, edits, min_chars, key, text, exact_chars).select(F.col(key).alias("__ls_key"), F.col("d").alias("__ls_hash"), F.col("removed").alias("__ls_removed"))
     joined = docs.join(gone, docs[key].eqNullSafe(F.col("__ls_key")) & (F.xxhash64(text) == F.col("__ls_hash")), "left")
 
     def parts(x: Column) -> Column:

@@ -217,7 +217,22 @@ def test_signature_bounds_the_edits(spark):
 def slow_removed(docs, edits, least):
     places = [(d, xh, n, line) for d, xh, t in docs for n, line in enumerate((t or "").split("\n")) if len(line) >= least and re.search(r"[^\x20\x09-\x0D]", line)]
     lines = sorted({p[3] for p in places})
-    label = slow_components(len(lines), lambda a, b: abs(len(lines[a]) - len(lines[b])) <= edits and distance(lines[a], lines[b]) <= edits)
+    counts = np.zeros((len(lines), 97), np.int32)  # an edit changes two letters' counts by one at most
+    for k, line in enumerate(lines):
+        np.add.at(counts[k], [ord(c) % 97 for c in line], 1)
+    label = list(range(len(lines)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(len(lines)):
+        for b in np.flatnonzero(np.abs(counts[:a] - counts[a]).sum(axis=1) <= 2 * edits).tolist():
+            if distance(lines[a], lines[b]) <= edits:
+                x, y = find(a), find(b)
+                label[max(x, y)] = min(x, y)
+    label = [find(x) for x in range(len(lines))]
     by = {line: label[k] for k, line in enumerate(lines)}
     order = lambda p: (p[0] is not None, p[0] or 0, p[1], p[2])
     first = {}
@@ -255,5 +270,49 @@ def test_line_dedup(spark, monkeypatch, edits, crowd, hot):
     assert sorted(map(str, expected)) == sorted(str(tuple(r)) for r in pairs)
 
 
+def test_pair_keys_meet_where_lines_are_near(spark):
+    """Every pair within the edits shares a pair key of the shorter line."""
+    rng = random.Random(17)
+    for edits in (1, 2, 3):
+        pairs = [(a := "".join(rng.choice("abcd") for _ in range(rng.randrange(20, 31))), edited(rng, a, rng.randrange(edits + 1), "abcd")) for _ in range(400)]
+        pairs = [(p, q) if len(p) <= len(q) else (q, p) for p, q in pairs]
+        keys = lambda c: L.pair_keys(F.col(c), F.length(c), edits)
+        own = F.array(*(keys("p")[0][k] for k in keys("p")[1]))
+        missed = spark.createDataFrame(pairs, "p string, q string").where(~F.arrays_overlap(own, F.array(*keys("q")[0])))
+        assert missed.count() == 0
+
+
+def test_crowded_lines(spark, monkeypatch):
+    """Many lines that share their beginning, middle or end, and few that are near."""
+    monkeypatch.setattr(L, "CROWD", 3)
+    rng = random.Random(23)
+    lines = [f"{a}{''.join(rng.choices('0123456789', k=8))}{b}" for a, b in (("a common beginning ", ""), ("", " and a common ending"), ("both sides ", " are common")) for _ in range(40)]
+    lines += [edited(rng, rng.choice(lines), k % 4, "0123456789 ") for k in range(60)]
+    rows = [(k, line) for k, line in enumerate(lines)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    want = slow_removed([(d, hashed[d], t) for d, t in rows], 2, L.MIN_CHARS)
+    got = {(r.doc_id, hashed[r.doc_id]): set(r.removed) for r in L.line_dedup(docs).where("n_removed > 0").collect()}
+    assert got == want and want
+
+
+def test_short_lines_as_exact_copies(spark):
+    rows = [(1, "yes\nno\n}\n \na long enough line of its own"), (2, "no\nyes!\n}\nyes\na long enough line of its owm"), (3, "nо\n\n ")]
+    out = {r.doc_id: r.text for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), exact_chars=2).collect()}
+    first = {r.doc_id for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()}
+    assert out == {1: rows[0][1], 2: "yes!\n}", 3: rows[2][1]} and first == {2}
+
+
+def test_very_long_lines_and_texts(spark):
+    rng = random.Random(2)
+    long_ = "".join(rng.choices("abcdefgh ", k=1_000_000))
+    near = long_[:500_000] + "X" + long_[500_001:999_990]  # a substitution and ten letters less
+    close = long_[:300_000] + "YZ" + long_[300_002:]
+    many = "\n".join(f"line number {k} of a text of very many lines" for k in range(3000))
+    rows = [(1, long_), (2, near), (3, close), (4, "head\n" + long_), (5, many), (6, many + "\nand one of its own at the end")]
+    out = {r.doc_id: (r.n_lines, r.n_removed) for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), edits=2).collect()}
+    assert out[1] == (1, 0) and out[2] == (1, 0) and out[3] == (1, 1) and out[4] == (2, 1) and out[6] == (3001, 3000)
+
+
 def test_line_dedup_of_nothing(spark):
     assert L.line_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -96,6 +96,18 @@ def test_op4(spark, ids):
     assert sorted(tuple(r) for r in Q["op4_seekable_token_files"](spark, SF).collect()) == want
 
 
+def test_op10(spark, texts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    hashed = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    gone = slow_removed([(d, hashed[d], t) for d, t in texts.items()], linededup.EDITS, linededup.MIN_CHARS)
+    got = {r.doc_id: r for r in Q["op10_line_edit_dedup"](spark, SF).collect()}
+    assert set(got) == set(texts)
+    for d, t in texts.items():
+        out = gone.get((d, hashed[d]), set())
+        assert (got[d].n_lines, got[d].n_removed, got[d].removed) == (len(t.split("\n")), len(out), sorted(out))
+        assert got[d].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in out)
+
+
 def test_op6(spark, texts):
     got = Q["op6_interleaved_media"](spark, SF).collect()
     assert len(got) == len(texts)
