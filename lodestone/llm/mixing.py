@@ -118,19 +118,19 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] = WEIGHTS,
     result; input columns named copy or shuffle_key give way.
     """
     counts = materialize(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "sources")
-    table_ = materialize(cumulative(rates(counts, weights, rows)).select(F.col("source").alias("__ls_source"), F.col("rate").alias("__ls_rate"), "cdf"), "rates")
+    table_ = materialize(cumulative(rates(counts, weights, rows)).select(F.col("source").alias("__ls_source"), F.col("rate").alias("__ls_rate"), F.col("cdf").alias("__ls_cdf")), "rates")
     ident = F.coalesce(F.col(key).cast("string"), F.lit(""))
     docs = docs.withColumn("__ls_u", uniform(F.lit(str(seed)), ident))
-    extent = table_.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size("cdf"), F.lit(0))).alias("entries"), F.max("__ls_rate").alias("most")).first()
+    extent = table_.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size("__ls_cdf"), F.lit(0))).alias("entries"), F.max("__ls_rate").alias("most")).first()
     if extent.n <= MAX_BROADCAST_SOURCES and (extent.entries or 0) <= MAX_BROADCAST_ENTRIES:
         joined = docs.join(F.broadcast(table_), F.col("source").eqNullSafe(F.col("__ls_source")))
     else:
         salted = table_.withColumn("__ls_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         docs = docs.withColumn("__ls_at", F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int"))
         joined = docs.join(salted, F.col("source").eqNullSafe(F.col("__ls_source")) & (F.col("__ls_at") == F.col("__ls_salt"))).drop("__ls_at", "__ls_salt")
-    few = F.size(F.filter("cdf", lambda c: c <= F.col("__ls_u"))).cast("long")
-    drawn = joined.withColumn("__ls_n", F.when(F.col("cdf").isNull(), large_draw(F.col("__ls_u"), F.col("__ls_rate"))).otherwise(few))
-    drawn = drawn.drop("cdf", "__ls_u", "__ls_source", "__ls_rate").where("__ls_n > 0")
+    few = F.size(F.filter("__ls_cdf", lambda c: c <= F.col("__ls_u"))).cast("long")
+    drawn = joined.withColumn("__ls_n", F.when(F.col("__ls_cdf").isNull(), large_draw(F.col("__ls_u"), F.col("__ls_rate"))).otherwise(few))
+    drawn = drawn.drop("__ls_cdf", "__ls_u", "__ls_source", "__ls_rate").where("__ls_n > 0")
     if (extent.most or 0) > TABLE_RATE:
         too_many = F.raise_error(F.lit("a document would be taken 2**31 times or more")).cast("long")
         drawn = drawn.withColumn("__ls_n", F.when(F.col("__ls_n") < 1 << 31, F.col("__ls_n")).otherwise(too_many))

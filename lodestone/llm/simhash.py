@@ -456,9 +456,10 @@ def verified_classes(docs: DataFrame, prints: DataFrame, least: float, most: int
     grouped = materialize(units.join(near, "id", "left").select("unit", "first", F.coalesce("root", "id").alias("group")), "candidates")
     several = grouped.groupBy("group").count().where("count > 1").select("group")
     wanted = materialize(grouped.join(hinted(materialize(several, "candidate-groups")), "group", "left_semi"), "candidate-texts")
-    asked = wanted.select("group", "unit", F.col("first.key").alias("__ls_key"))
-    there = docs[key].eqNullSafe(F.col("__ls_key")) & (F.xxhash64(docs[text]) == F.col("unit"))
-    rows = docs.join(hinted(asked), there).select("group", "unit", F.col(text).alias("text")).dropDuplicates(["unit"])
+    asked = wanted.select(F.col("group").alias("__ls_group"), F.col("unit").alias("__ls_unit"), F.col("first.key").alias("__ls_key"))
+    named = docs.select(F.col(key).alias("__ls_doc"), F.col(text).alias("text"))
+    there = F.col("__ls_doc").eqNullSafe(F.col("__ls_key")) & (F.xxhash64("text") == F.col("__ls_unit"))
+    rows = named.join(hinted(asked), there).select(F.col("__ls_group").alias("group"), F.col("__ls_unit").alias("unit"), "text").dropDuplicates(["unit"])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,8 +1,10 @@
 """Stages of the pipeline on rows made for them."""
 
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import simhash
@@ -68,3 +70,43 @@ def test_near_stage_of_odd_rows(spark):
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near(spark, docs, "").collect()), key=str)
     assert got == sorted([(1, odd[0][1]), (0, text.upper()), (2, None), (None, text), (None, text), (4, "alone"), (4, "quite another")], key=str)
     assert corpus_pipeline.near(spark, docs.limit(0), "").collect() == []
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in every column, empty and repeated rows and ids, clashing names, a long text, and no rows at all."""
+    long_ = " ".join(f"word{k}" for k in range(20_000))
+    prose = " ".join(f"tale{k}" for k in range(40))
+    table = [(1, prose, "en", "s", 9), (1, prose, "en", "s", 9), (1, long_, None, None, None), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (None, prose + " end", "en", None, 5), (None, None, None, None, None), (4, prose.upper(), "en", "src0", 9)]
+    docs = spark.createDataFrame(table, SCHEMA)
+    clash = docs.withColumns({c: F.lit("x") for c in ("kept", "n_words", "removed", "copy", "shuffle_key", "unit", "group", "id", "fps", "first", "cdf", "rate", "d", "k1", "line", "size", "sequence_id", "offset", "length", "piece", "__row")})
+    for _, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, clash, ""), stage(spark, clash.limit(0), "")
+        assert out.columns == none.columns and none.collect() == [] and out.count() > 0
+        if stage is not corpus_pipeline.packing:
+            assert out.columns == docs.columns
+    kept = corpus_pipeline.quality(spark, clash, "").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, len(r.text)) for r in kept) == sorted((d is None, d or 0, len(t)) for d, t, *_ in table if t)
+    near = corpus_pipeline.near(spark, clash, "").collect()
+    assert sorted(str((r.doc_id, r.text)) for r in near) == sorted(str((d, t)) for d, t in [(1, prose), (1, long_), (None, prose + " end"), (2, None), (None, None)])
+    packed = corpus_pipeline.packing(spark, clash, "").collect()
+    assert sum(r.length == 1 for r in packed) == 3 and len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
+
+
+def test_what_a_stage_wrote_on_its_way_is_removed(spark, tmp_path):
+    from lodestone.llm import common
+
+    spark.range(3).selectExpr("id as doc_id", f"'{HEADER} ' || id as text", "'en' as lang", "'s' as source", "id as n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before}
+    assert {f"stage{k}" for k in range(4)} <= left and not left & {"measured", "hosts", "lines", "line-groups", "fingerprints", "sources"}
+
+
+def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
+    from lodestone.llm import common
+
+    narrow, wide = spark.range(10), spark.range(10).selectExpr("id", "cast(id as string) as a", "array(id) as b")
+    assert common.broadcast_rows(narrow) > 4 * common.broadcast_rows(wide)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 10 * 24)
+    assert common.small(narrow) and not common.small(wide)
