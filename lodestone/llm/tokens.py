@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that the cache of words may take, about, and the longest word that it keeps.
-CACHE_BYTES = 80 << 20
+CACHE_BYTES = 160 << 20
 LONGEST = 40
 #: What a cached word takes besides its characters and ids.
 _ENTRY = 200
